@@ -34,3 +34,16 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
 
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def spread(df: DataFrame, key_col: str, min_partitions: int | None = None) -> DataFrame:
+    """Hash-spread a scan that arrived in too few partitions for CPU-heavy work.
+
+    A single large row group is read by one task; tokenising it there would
+    leave the other cores idle.  At cluster scale the scan already has many
+    partitions and this is a no-op (no shuffle of the raw text).
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target, key_col)
+    return df

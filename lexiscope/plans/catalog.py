@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiscope.plans import catalog_words  # noqa: F401
+from lexiscope.plans import catalog_concepts, catalog_pairs, catalog_words  # noqa: F401
 from lexiscope.plans.registry import ORACLES, QUERIES
 
 
