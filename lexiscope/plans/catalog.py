@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lexiscope.plans import catalog_concepts, catalog_pairs, catalog_words  # noqa: F401
+from lexiscope.plans import (  # noqa: F401
+    catalog_clusters, catalog_concepts, catalog_pairs, catalog_words,
+)
 from lexiscope.plans.registry import ORACLES, QUERIES
 
 
