@@ -13,6 +13,7 @@ from lexiscope.operators.pairs import (
 )
 from lexiscope.operators.similarity import cosine_sparse, pair_cosine
 from lexiscope.operators.tokens import term_counts, tokenize
+from lexiscope.operators.util import checkpointed
 from lexiscope.operators.weights import doc_count, fit_idf, tfidf
 from lexiscope.plans import tables
 
@@ -28,13 +29,21 @@ class PairSet:
     vectors: DataFrame
 
 
-def pair_set(pairs: DataFrame) -> PairSet:
+def pair_set(pairs: DataFrame, materialize: bool = True) -> PairSet:
+    """Pairs -> distinct texts, positions, partner maps and TF-IDF vectors.
+
+    ``pairs``, the distinct texts and the vectors are each used by several
+    branches; with ``materialize`` they are written once to the shared
+    checkpoint folder instead of being recomputed per branch.
+    """
+    ck = checkpointed if materialize else (lambda df: df)
+    pairs = ck(pairs)
     stacked = stack_texts(pairs)
-    texts = distinct_texts(stacked)
-    pp = pair_positions(pairs, texts)
-    counts = term_counts(tokenize(texts, "doc_idx", "text"), "doc_idx")
+    texts = ck(distinct_texts(stacked))
+    pp = ck(pair_positions(pairs, texts))
+    counts = ck(term_counts(tokenize(texts, "doc_idx", "text"), "doc_idx"))
     idf = fit_idf(counts, doc_count(texts))
-    vectors = tfidf(counts, idf, "doc_idx")
+    vectors = ck(tfidf(counts, idf, "doc_idx"))
     return PairSet(pairs, stacked, texts, pp, partner_last_wins(pp), partner_symmetric(pp), vectors)
 
 

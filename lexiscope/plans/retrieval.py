@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexiscope.operators.judgments import contains_judgments
 from lexiscope.operators.ranking import (
@@ -17,6 +18,7 @@ from lexiscope.operators.ranking import (
 )
 from lexiscope.operators.similarity import cosine_sparse
 from lexiscope.operators.tokens import remove_stopwords, term_counts, tokenize
+from lexiscope.operators.util import checkpointed
 from lexiscope.operators.weights import doc_count, fit_idf, tfidf
 from lexiscope.plans import tables
 
@@ -46,18 +48,30 @@ class WordIndex:
 
 def word_index(docs: DataFrame, queries: DataFrame, stopwords=None,
                vocabulary: str = "learned", doc_col: str = "doc_id",
-               query_col: str = "query_id", query_text_col: str = "query_text") -> WordIndex:
-    """Fit word TF-IDF on ``docs`` and transform ``queries`` with it."""
+               query_col: str = "query_id", query_text_col: str = "query_text",
+               materialize: bool = True) -> WordIndex:
+    """Fit word TF-IDF on ``docs`` and transform ``queries`` with it.
+
+    The term-count table feeds both the idf and the weights (a diamond in
+    the plan), and the document vectors feed scoring, judgments and
+    factorisation; with ``materialize`` both are written once to the shared
+    checkpoint folder (the fitted index), which also cuts the lineage so a
+    lost executor only recomputes from the written tables.
+    """
     toks = tokenize(docs, doc_col, "text")
     qtoks = tokenize(queries, query_col, query_text_col)
     if stopwords is not None:
         toks = remove_stopwords(toks, stopwords)
         qtoks = remove_stopwords(qtoks, stopwords)
     counts = term_counts(toks, doc_col)
+    if materialize:
+        counts = checkpointed(counts)
     n = doc_count(docs)
     idf = fit_idf(counts, n)
     raw = tfidf(counts, idf, doc_col, norm=None)
     dvec = tfidf(counts, idf, doc_col)
+    if materialize:
+        dvec = checkpointed(dvec)
     qcounts = term_counts(qtoks, query_col)
     qvec = tfidf(qcounts, idf, query_col, vocabulary=vocabulary, n_docs=n)
     return WordIndex(docs, queries, toks, counts, n, idf, raw, dvec, qcounts, qvec)
@@ -97,3 +111,27 @@ def evaluate(spark: SparkSession, sf_dir: str, stopwords=None) -> tuple[DataFram
     base = ix if stopwords is None else driver_index(spark, sf_dir)
     per = per_query_precision(ix, judgments(base, spark, sf_dir))
     return per, mean_precision(per, NS)
+
+
+def evaluate_collection(docs: DataFrame, queries: DataFrame, qrels: DataFrame, stopwords=None,
+                        vocabulary: str = "learned", n: int = 10, ns=NS,
+                        materialize: bool = False):
+    """Word TF-IDF evaluation of a collection read from files.
+
+    ``docs``: ``(doc_id string, doc_idx bigint, text)``; ``queries``:
+    ``(query_id, query_text)``; ``qrels``: ``(topic, iter, docno, relevancy)``.
+    Vectors are keyed by ``doc_idx`` (ties rank the higher position first);
+    judgments are matched on the document id string.
+
+    Returns ``(ranked, per_query, mean)``; ``ranked`` carries ``docno``.
+    """
+    keyed = docs.select(F.col("doc_idx").alias("doc_id"), "text")
+    ix = word_index(keyed, queries, stopwords=stopwords, vocabulary=vocabulary,
+                    materialize=materialize)
+    r = rank_docs(scores(ix), n, ix.queries, keyed, "query_id", "doc_id", "score")
+    r = r.join(docs.select(F.col("doc_idx").alias("doc_id"), F.col("doc_id").alias("docno")), "doc_id")
+    rel = relevant(qrels).select(F.col("topic").alias("query_id"), F.col("docno"), F.lit(1).alias("hit"))
+    hits = (r.join(rel, ["query_id", "docno"], "left")
+            .withColumn("hit", F.coalesce("hit", F.lit(0)).cast("bigint")))
+    per = precision_at(hits, ix.queries, ns, "query_id")
+    return r, per, mean_precision(per, ns)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiscope.operators.groups import next_in_group
+from lexiscope.operators.util import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -25,12 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents", "doc_id", "text")
+    return spread(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id")
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark", "item_id", "text").select(
+    q = table(spark, sf_dir, "benchmark", "item_id", "text").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    return spread(q, "query_id")
 
 
 def question_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

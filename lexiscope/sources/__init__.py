@@ -1,0 +1,13 @@
+"""Readers and writers for collections, topics, judgments, pairs and vectors."""
+
+from lexiscope.sources.readers import (
+    clean_text, read_collection, read_json_array, read_labelled, read_pairs, read_qrels,
+    read_rootless_collection, read_topics,
+)
+from lexiscope.sources.store import load_shards, load_vectors, save_shards, save_vectors, vector_path
+
+__all__ = [
+    "clean_text", "read_collection", "read_json_array", "read_labelled", "read_pairs",
+    "read_qrels", "read_rootless_collection", "read_topics", "load_shards", "load_vectors",
+    "save_shards", "save_vectors", "vector_path",
+]
