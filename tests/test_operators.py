@@ -169,3 +169,22 @@ def test_sample_exact_count(spark):
     s = sample_exact(df, "doc_id", 0.01, 42)
     assert s.count() == 12
     assert sorted(r[0] for r in s.collect()) == sorted(r[0] for r in sample_exact(df, "doc_id", 0.01, 42).collect())
+
+
+def test_cosine_above_is_exact(spark):
+    import random
+
+    from lexiscope.operators.similarity import cosine_above
+
+    rnd = random.Random(7)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rnd.choice(words[: rnd.randint(3, 30)]) for _ in range(rnd.randint(1, 12))) for _ in range(40)]
+    d = _docs(spark, texts)
+    counts = term_counts(tokenize(d))
+    v = tfidf(counts, fit_idf(counts, doc_count(d)))
+    q = v.withColumnRenamed("doc_id", "query_id")
+    full = {(r[0], r[1]): r[2] for r in cosine_sparse(q, v).collect()}
+    for t in (0.1, 0.3, 0.6):
+        got = {(r[0], r[1]): r[2] for r in cosine_above(q, v, t).collect()}
+        assert {k for k, s in full.items() if s > t} <= set(got)
+        assert all(got[k] == pytest.approx(full[k]) for k in got)
