@@ -50,8 +50,8 @@ def test_learned_vs_fixed_vocabulary(spark):
     dv = tfidf(counts, idf)
     s_l = cosine_sparse(tfidf(qc, idf, "query_id"), dv).collect()
     s_f = cosine_sparse(tfidf(qc, idf, "query_id", vocabulary="fixed", n_docs=n), dv).collect()
-    rank_l = sorted(s_l, key=lambda r: -r["score"])
-    rank_f = sorted(s_f, key=lambda r: -r["score"])
+    rank_l = sorted(s_l, key=lambda r: (-round(r["score"], 9), -r["doc_id"]))
+    rank_f = sorted(s_f, key=lambda r: (-round(r["score"], 9), -r["doc_id"]))
     assert [r["doc_id"] for r in rank_l] == [r["doc_id"] for r in rank_f]
     assert all(a["score"] > b["score"] for a, b in zip(rank_l, rank_f))
 
