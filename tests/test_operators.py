@@ -188,3 +188,19 @@ def test_cosine_above_is_exact(spark):
         got = {(r[0], r[1]): r[2] for r in cosine_above(q, v, t).collect()}
         assert {k for k, s in full.items() if s > t} <= set(got)
         assert all(got[k] == pytest.approx(full[k]) for k in got)
+
+
+def test_contains_judgments_exact(spark):
+    from lexiscope.operators.judgments import contains_judgments
+
+    docs = _docs(spark, ["intro. The quick brown fox jumps. end", "xHello world!", "quick brown",
+                         "the QUICK brown fox jumps"])
+    passages = spark.createDataFrame([(1, "The quick brown fox jumps"), (2, "Hello world"), (3, "brown")],
+                                     "item_id long, text string")
+    counts = term_counts(tokenize(docs))
+    idf = fit_idf(counts, doc_count(docs))
+    got = sorted((r["topic"], r["docno"]) for r in contains_judgments(docs, passages, counts, idf).collect())
+    want = sorted((pid, did) for pid, pt in [(1, "The quick brown fox jumps"), (2, "Hello world"), (3, "brown")]
+                  for did, dt in enumerate(["intro. The quick brown fox jumps. end", "xHello world!",
+                                            "quick brown", "the QUICK brown fox jumps"]) if pt in dt)
+    assert got == want
