@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiscope.functions.text import tokens as token_array
-from lexiscope.operators.util import checked_broadcast
+from lexiscope.operators.util import checked_broadcast, spread
 
 # Lists up to this many words are applied as an IN-set predicate (codegen'd
 # hash set inside the scan stage); larger ones become a broadcast anti join.
@@ -20,8 +20,11 @@ def tokenize(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per token: ``(id, pos, term)``; empty texts emit no rows.
 
     ``max_tokens`` keeps only the first tokens of each text (the encoder's
-    truncation length); the default keeps the whole text.
+    truncation length); the default keeps the whole text.  Input that
+    arrives in fewer partitions than cores (one large row group) is
+    hash-spread first, since the regex work is CPU-bound.
     """
+    df = spread(df.select(id_col, text_col), id_col)
     toks = token_array(text_col, min_len)
     if max_tokens is not None:
         toks = F.slice(toks, 1, int(max_tokens))
