@@ -204,3 +204,32 @@ def test_contains_judgments_exact(spark):
                   for did, dt in enumerate(["intro. The quick brown fox jumps. end", "xHello world!",
                                             "quick brown", "the QUICK brown fox jumps"]) if pt in dt)
     assert got == want
+
+
+def test_nmf_objective_falls_and_is_deterministic(spark):
+    import numpy as np
+
+    from lexiscope.operators.cluster import nmf
+
+    d = _docs(spark, ["red apple fruit", "green apple fruit", "fast red car", "fast blue car",
+                      "blue sky sea", "green sea fish", "apple pie", "car race fast"])
+    counts = term_counts(tokenize(d))
+    x = tfidf(counts, fit_idf(counts, doc_count(d)))
+    xs = {(r["doc_id"], r["term"]): r["weight"] for r in x.collect()}
+    docs = sorted({k[0] for k in xs})
+    terms = sorted({k[1] for k in xs})
+    X = np.zeros((len(docs), len(terms)))
+    for (i, t), v in xs.items():
+        X[docs.index(i), terms.index(t)] = v
+
+    def objective(iters):
+        w, h = nmf(x, 3, max_iter=iters)
+        W = np.array([r["v"] for r in w.orderBy("doc_id").collect()])
+        H = np.array([r["v"] for r in h.orderBy("term").collect()])
+        return float(((X - W @ H.T) ** 2).sum()), W
+
+    objs = [objective(i) for i in (0, 1, 2, 4)]
+    vals = [o for o, _ in objs]
+    assert all(b <= a + 1e-9 for a, b in zip(vals, vals[1:]))
+    again = objective(2)[1]
+    assert np.allclose(again, objs[2][1])
