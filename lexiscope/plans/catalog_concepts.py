@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiscope.functions.numeric import rounded
-from lexiscope.operators.concepts import concept_topk, formula_sae, sae_encode
+from lexiscope.operators.concepts import concept_topk, formula_sae, sae_encode, sae_topk
 from lexiscope.operators.tokens import term_counts, tokenize
 from lexiscope.operators.util import scalar_count
 from lexiscope.operators.weights import concept_strings, fit_idf, tfidf
@@ -52,6 +52,14 @@ def activations(spark, sf):
 
 
 def topk(spark, sf, k=K_QUERY, min_value=None):
+    """Top-k concepts per token, fused with the activation GEMM in one Arrow batch."""
+    emb = tables.table(spark, sf, "embeddings", "vec_id", "label", "embedding")
+    return sae_topk(emb, "embedding", _weights, k, ["vec_id", "label"], min_value=min_value,
+                    cache_key="formula_sae")
+
+
+def topk_sql_form(spark, sf, k=K_QUERY, min_value=None):
+    """The same top-k with array functions over the full activation vectors."""
     return concept_topk(activations(spark, sf), k, ["vec_id", "label"], min_value=min_value)
 
 
@@ -73,7 +81,7 @@ def q_concept_topk(spark, sf):
 @register("concept_topk_filtered", _w("SELECT vec_id, CAST(rank AS BIGINT) AS rank, CAST(concept AS BIGINT) AS concept, "
                                       "round(act, 6) AS act FROM topk WHERE act >= 0.0"))
 def q_concept_topk_filtered(spark, sf):
-    t = topk(spark, sf, min_value=0.0)
+    t = topk_sql_form(spark, sf, min_value=0.0)
     return t.select("vec_id", "rank", "concept", rounded("act").alias("act"))
 
 
@@ -132,9 +140,11 @@ def q_concept_tfidf_query(spark, sf):
 # ---------------------------------------------------------------- M1, M6-M8, R15 (rows-only)
 
 def _hash_encoder():
+    """Stand-in encoder over whole texts (a real model would truncate at its
+    maximum length; the stand-in has no such limit, so nothing is cut)."""
     from lexiscope.operators.concepts import HashWordEncoder
 
-    return HashWordEncoder(dim=D_IN, max_tokens=90)
+    return HashWordEncoder(dim=D_IN, max_tokens=None)
 
 
 @register("concept_retrieval")
@@ -150,7 +160,7 @@ def q_concept_retrieval(spark, sf):
 
 @register("encode_tokens")
 def q_encode_tokens(spark, sf):
-    """Batch encoding of every document (first 90 tokens): one hidden vector per token."""
+    """Batch encoding of every whole document: one hidden vector per token."""
     from lexiscope.operators.concepts import encode_texts
 
     return encode_texts(tables.documents(spark, sf), "doc_id", "text", _hash_encoder).select(
