@@ -272,7 +272,7 @@ def q_method_comparison(spark, sf):
 
     ix = R.driver_index(spark, sf)
     judg = R.judgments(ix, spark, sf)
-    sx = R.driver_index(spark, sf, stopwords=R.SHORT_STOPWORDS)
+    sx = R.without_stopwords(ix, R.SHORT_STOPWORDS)
     means = {
         "bag_of_words": mean_precision(R.per_query_precision(ix, judg)),
         "bag_of_words_stopwords": mean_precision(R.per_query_precision(sx, judg)),

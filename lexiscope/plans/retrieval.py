@@ -77,6 +77,26 @@ def word_index(docs: DataFrame, queries: DataFrame, stopwords=None,
     return WordIndex(docs, queries, toks, counts, n, idf, raw, dvec, qcounts, qvec)
 
 
+def without_stopwords(ix: WordIndex, stopwords, vocabulary: str = "learned", doc_col: str = "doc_id",
+                      query_col: str = "query_id", materialize: bool = True) -> WordIndex:
+    """The same index refitted without ``stopwords``.
+
+    Removing words from a bag only drops rows of the term-count tables, so
+    the already materialised counts are filtered instead of re-tokenising
+    the corpus; idf and vectors are refitted (``n`` is unchanged).
+    """
+    counts = remove_stopwords(ix.doc_counts, stopwords)
+    qcounts = remove_stopwords(ix.query_counts, stopwords)
+    idf = fit_idf(counts, ix.n_docs)
+    raw = tfidf(counts, idf, doc_col, norm=None)
+    dvec = tfidf(counts, idf, doc_col)
+    if materialize:
+        dvec = checkpointed(dvec)
+    qvec = tfidf(qcounts, idf, query_col, vocabulary=vocabulary, n_docs=ix.n_docs)
+    toks = remove_stopwords(ix.doc_tokens, stopwords)
+    return WordIndex(ix.docs, ix.queries, toks, counts, ix.n_docs, idf, raw, dvec, qcounts, qvec)
+
+
 def driver_index(spark: SparkSession, sf_dir: str, stopwords=None, vocabulary: str = "learned") -> WordIndex:
     return word_index(tables.documents(spark, sf_dir), tables.queries(spark, sf_dir),
                       stopwords=stopwords, vocabulary=vocabulary)
