@@ -28,12 +28,34 @@ def scalar_count(df: DataFrame) -> "F.Column":
     return df.select(F.count(F.lit(1)).cast("bigint")).scalar()
 
 
+_MATERIALIZE_MODE = {"mode": "parquet"}
+
+
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the session's checkpoint dir."""
-    from lexiscope.session import checkpoint_dir
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    Default: a parquet table under ``<spark.checkpoint.dir>/tables/`` (the
+    read-back has real size statistics for join planning and column
+    pruning); ``set_materialize_mode("checkpoint")`` uses ``Dataset.checkpoint``
+    instead.  Either way the lineage is cut and survives executor loss.
+    """
+    import uuid
+
+    from lexiscope.session import checkpoint_dir, scratch_path
+
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    if _MATERIALIZE_MODE["mode"] == "checkpoint":
+        return df.checkpoint(eager=eager)
+    path = scratch_path(spark, uuid.uuid4().hex)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
 
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def set_materialize_mode(mode: str) -> None:
+    if mode not in ("parquet", "checkpoint"):
+        raise ValueError(mode)
+    _MATERIALIZE_MODE["mode"] = mode
 
 
 def spread(df: DataFrame, key_col: str, min_partitions: int | None = None) -> DataFrame:
