@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,7 +65,3 @@ def load_stopwords(spark, path: str) -> DataFrame:
     return (spark.read.text(path)
             .select(F.lower(F.trim("value")).alias("term"))
             .filter(F.length("term") > 0).distinct())
-
-
-def as_list(words: Iterable[str]) -> list[str]:
-    return sorted({w.lower() for w in words})
