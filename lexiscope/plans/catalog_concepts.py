@@ -165,3 +165,14 @@ def q_encode_tokens(spark, sf):
 
     return encode_texts(tables.documents(spark, sf), "doc_id", "text", _hash_encoder).select(
         "doc_id", "pos", F.size("hidden").alias("dim"))
+
+
+@register("dense_retrieval")
+def q_dense_retrieval(spark, sf):
+    """Dense-embedding retrieval over benchmark x documents (queries get an instruction prompt)."""
+    from lexiscope.plans import retrieval as R
+    from lexiscope.plans.concept_eval import dense_retrieval
+
+    ix = R.driver_index(spark, sf)
+    return dense_retrieval(ix.docs, ix.queries, R.judgments(ix, spark, sf), _hash_encoder,
+                           query_prompt="query: ")
