@@ -33,3 +33,20 @@ def test_query_matches_oracle(spark, name):
     ocols = [d[0] for d in res.description]
     assert sorted(df.columns) == sorted(ocols)
     assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(ocols, res.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
+@pytest.mark.parametrize("name", ["rank_zero_fill", "pair_last_wins", "sample_exact"])
+def test_independent_of_shuffle_partitions(spark, name):
+    import __spark_entry__ as E
+
+    results = []
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for p in ("2", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", p)
+            df = E.queries()[name](spark, SF)
+            results.append(_rows(df.columns, [tuple(r) for r in df.collect()]))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert results[0] == results[1]
