@@ -73,3 +73,14 @@ def test_store_roundtrip(spark, tmpdir_path):
     save_shards(spark.range(10).withColumnRenamed("id", "doc_idx"), sp, 3)
     assert load_shards(spark, sp).count() == 10
     assert len([f for f in os.listdir(sp) if f.endswith(".parquet")]) >= 4
+
+
+def test_read_labelled(spark, tmpdir_path):
+    from lexiscope.sources import read_labelled
+
+    p = os.path.join(tmpdir_path, "labelled")
+    spark.createDataFrame([(1, "a text", 3), (2, "b text", 0)], "doc_id long, text string, label long") \
+        .write.parquet(p)
+    df = read_labelled(spark, p)
+    assert dict(df.dtypes) == {"doc_id": "bigint", "text": "string", "label": "int"}
+    assert sorted((r["doc_id"], r["label"]) for r in df.collect()) == [(1, 3), (2, 0)]
