@@ -53,3 +53,14 @@ def ragged_arange(counts: np.ndarray) -> np.ndarray:
     counts = np.asarray(counts, dtype=np.int64)
     ends = np.cumsum(counts)
     return np.arange(ends[-1] if len(ends) else 0, dtype=np.int64) - np.repeat(ends - counts, counts)
+
+
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Write ``df`` once to the shared folder in buckets of ``key``; joins on it then leave these rows in place."""
+    from uuid import uuid4
+
+    from lexiscope.session import scratch_path
+
+    spark, name = df.sparkSession, f"lexiscope_{uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", scratch_path(spark, name)).saveAsTable(name)
+    return spark.table(name)

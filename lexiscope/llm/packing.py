@@ -19,10 +19,10 @@ import os
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lexiscope.llm.common import ragged_arange, slices, stored, table, utf8
 
@@ -172,10 +172,11 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = SEQUENCE
     ``pieces`` should be a stored table, as it is counted first.
     """
     groups = max(1, round(pieces.count() / group_pieces))
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = StructType([*pieces.schema.fields, StructField("sequence_id", LongType()),
+                         StructField("offset", LongType())])
     deal = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key, rows):
         of, at = best_two_fit(rows[length_col].to_numpy(np.int64), capacity)
         return rows.drop(columns="pack_group").assign(sequence_id=(int(key[0]) << 32) + of, offset=at)
 
