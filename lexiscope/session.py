@@ -8,6 +8,7 @@ runs).
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -47,8 +48,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written intermediate tables.
 
-    Uses ``spark.checkpoint.dir`` when the cluster sets it; otherwise (tests,
-    local mode only) creates a private folder under the system temp dir.
+    Uses ``spark.checkpoint.dir`` when the cluster sets it.  Only a local
+    master (tests) may do without: it gets a private folder under the system
+    temp dir, which one machine sees as a whole.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -56,6 +58,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="lexiscope-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -65,3 +69,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """Path for a written intermediate table next to the checkpoints."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Workers import the functions that plans refer to; they need the package
+    even where it is not installed on every machine.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_lexiscope_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="lexiscope-ship-"), "lexiscope"), "zip",
+                                  root_dir=root, base_dir="lexiscope")
+    sc.addPyFile(archive)
+    sc._lexiscope_shipped = True
