@@ -39,12 +39,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, LongType, StructField, StructType
+from xxhash import xxh3_64_digest
 
 from lexiscope.llm.common import bucketed, ragged_arange, slices, stored, table, utf8
 
 LENGTH = 100
 SHARD_BYTES = 16 << 20
-ANCHOR_SLICE = 2 << 20
+ANCHOR_SLICE = 256 << 10
 BUCKET_ANCHORS = 400_000
 MERGE_BYTES = 4 << 20
 HOT_BYTES = 4 << 20
@@ -157,8 +158,9 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     while d < size:
         if len(h) <= d:
             return h[:0]
-        h = h[:-d] * _MIX + h[d:]
-        h ^= h >> np.uint64(29)
+        g = h[:-d] * _MIX
+        g += h[d:]
+        h = g ^ (g >> np.uint64(29))
         d *= 2
     return h
 
@@ -166,29 +168,30 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
 def window_anchors(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int):
     """Anchors of all windows inside documents: (document, gram hash, first window, last window).
 
-    ``starts``/``ends`` bound the documents in ``data``.  An anchor's windows
-    follow one another.
+    ``starts``/``ends`` bound the documents in ``data`` (under 4 GB).  An
+    anchor's windows follow one another.  Grams are ordered by half of their
+    hash, equals by position, so the anchor depends on the window's text alone.
     """
     size = gram_size(length)
     h = gram_hashes(data, size)
-    empty = np.zeros(0, np.int64)
     if len(data) < length:
+        empty = np.zeros(0, np.int64)
         return empty, h[:0], empty, empty
-    least, at, d, span = h, np.arange(len(h), dtype=np.int32), 1, length - size + 1
+    low = np.uint64(0xFFFFFFFF)
+    least, d, span = (h & ~low) | np.arange(len(h), dtype=np.uint64), 1, length - size + 1
     while d < span:
         k = min(d, span - d)
-        less = least[k:] < least[:-k]  # the leftmost of equals stays
-        at, least = np.where(less, at[k:], at[:-k]), np.minimum(least[k:], least[:-k])
+        least = np.minimum(least[k:], least[:-k])
         d += k
-    own = np.flatnonzero(ends - starts >= length)
-    count = ends[own] - starts[own] - length + 1
-    window = np.repeat(starts[own], count) + ragged_arange(count)
-    document = np.repeat(own, count)
-    anchor = at[window]
-    new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (document[1:] != document[:-1])])
-                         ) if len(window) else empty
-    last = np.concatenate([new[1:], [len(window)]]) - 1 if len(window) else empty
-    return document[new], h[anchor[new]], window[new], window[last]
+    anchor = (least & low).astype(np.uint32)
+    inside = np.zeros(len(anchor) + 1, bool)
+    for a, z in zip(starts.tolist(), (ends - length + 1).tolist()):
+        inside[a:max(a, z)] = True
+    change = anchor[1:] != anchor[:-1]
+    # two documents never share an anchor, and windows across them are not inside
+    first = np.flatnonzero(inside[:-1] & np.concatenate([[True], change | ~inside[:-2]]))
+    last = np.flatnonzero(inside[:-1] & np.concatenate([change | ~inside[1:-1], [True]]))
+    return np.searchsorted(ends, first, side="right"), h[anchor[first]], first, last
 
 
 class Shard:
@@ -206,9 +209,11 @@ class Shard:
             d, h, s0, s1 = window_anchors(self.bytes[base:self.ends[z - 1]], self.starts[a:z] - base,
                                           self.ends[a:z] - base, length)
             parts.append((d + a, h, s0 + base, s1 + base))
-        self.doc, self.hash, self.first, self.last = (np.concatenate(x) for x in zip(*parts))
-        digest = [blake2b(data[a:z], digest_size=8).digest()
-                  for a, z in zip(self.first.tolist(), (self.last + length).tolist())]
+        self.doc, least, self.first, self.last = (np.concatenate(x) for x in zip(*parts))
+        self.hash = least * _MIX  # anchors have small hashes: spread them again for the buckets
+        self.hash ^= self.hash >> np.uint64(32)
+        self.hash *= _MIX
+        digest = [xxh3_64_digest(data[a:z]) for a, z in zip(self.first.tolist(), (self.last + length).tolist())]
         self.digest = np.frombuffer(b"".join(digest), np.uint64)
         # entries: by hash, then surroundings, then document order; only the first of equals counts
         place = np.empty(len(self.ids), np.int64)
@@ -437,13 +442,18 @@ def merge_windows(rows: pa.Table, length: int) -> pa.Table:
     by = np.lexsort((when, name))
     merged, firsts = name[by], by
     later = np.zeros(len(at), bool)
-    for s in np.unique(shard):  # binary search of each shard's windows in the merged list
-        mine = np.flatnonzero((shard == s)[owner])
+    word = words_at(buffer)
+    steps = [*range(0, length - 8, 8), max(0, length - 8)]
+    by_shard = np.argsort(shard[owner], kind="stable")
+    for mine in np.split(by_shard, np.flatnonzero(np.diff(shard[owner][by_shard])) + 1):
+        # binary search of each shard's windows in the merged list
         first = firsts[np.searchsorted(merged, name[mine], "left")]
         hit = when[first] < when[mine]
         mine, first = mine[hit], first[hit]
         same = np.ones(len(mine), bool)
-        for k in range(length):  # verify
+        for k in steps if length >= 8 else []:  # verify
+            same &= word[at[mine] + k] == word[at[first] + k]
+        for k in range(length) if length < 8 else []:
             same &= buffer[at[mine] + k] == buffer[at[first] + k]
         later[mine[same]] = True
         for w in mine[~same].tolist():  # equal names of unequal windows: look at all of them
