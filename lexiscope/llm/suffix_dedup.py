@@ -44,7 +44,7 @@ from xxhash import xxh3_64_digest
 from lexiscope.llm.common import bucketed, ragged_arange, slices, stored, table, utf8
 
 LENGTH = 100
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 ANCHOR_SLICE = 256 << 10
 BUCKET_ANCHORS = 400_000
 MERGE_BYTES = 4 << 20
