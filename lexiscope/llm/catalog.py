@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lexiscope.llm import decontaminate, packing, quality, simhash, suffix_dedup
+from lexiscope.llm import (
+    chat, decontaminate, langid, licenses, packing, paragraphs, quality, simhash, suffix_dedup, warc,
+)
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.op1_suffix_array_dedup,
+    "op2_warc_index": warc.op2_warc_index,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op4_paragraph_minhash": paragraphs.op4_paragraph_minhash,
+    "op5_language_id": langid.op5_language_id,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
+    "op9_license_scan": licenses.op9_license_scan,
+    "op10_chat_formatting": chat.op10_chat_formatting,
     "pipeline": corpus_pipeline.run,
 }
 

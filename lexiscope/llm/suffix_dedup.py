@@ -504,22 +504,34 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = stored(settle_shards(shards, anchor_codes(shards, length, buckets), length, buckets))
     runs = (found.filter(F.col("kind") == _RUN).select("shard_id", "doc", "start", "stop")
             .unionByName(merge_open(found, length, hot_bytes)))
-    per_shard = runs.groupBy("shard_id").agg(F.collect_list(F.struct("doc", "start", "stop")).alias("runs"))
+    return apply_runs(shards, runs).drop("owners")
+
+
+def apply_runs(shards: DataFrame, runs: DataFrame) -> DataFrame:
+    """``(rest, n_bytes, spans, kept, owners)`` of every document after its ``runs`` are cut.
+
+    ``runs(shard_id, doc, start, stop[, owner])`` may overlap and come in any
+    order; ``owners`` lists a document's distinct ``owner`` values.
+    """
+    if "owner" not in runs.columns:
+        runs = runs.withColumn("owner", F.lit(None).cast("long"))
+    per_shard = runs.groupBy("shard_id").agg(F.collect_list(F.struct("doc", "start", "stop", "owner")).alias("runs"))
     joined = shards.join(per_shard, "shard_id", "left")
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     schema = StructType([
         StructField("rest", shards.schema["rest"].dataType.elementType),
-        *DataType.fromDDL("n_bytes long, spans array<struct<start:long,stop:long>>, kept binary").fields])
+        *DataType.fromDDL("n_bytes long, spans array<struct<start:long,stop:long>>, kept binary, owners array<long>"
+                          ).fields])
 
     def cut(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 sizes = np.array(batch.column("sizes")[k].as_py(), np.int64)
                 data = unsqueeze(batch.column("data")[k].as_py(), sizes.sum())
-                runs = batch.column("runs")[k].values
-                spans = [[] for _ in sizes]
-                if runs is not None:
-                    doc, start, stop = (runs.field(c).to_numpy() for c in ("doc", "start", "stop"))
+                own_runs = batch.column("runs")[k].values
+                spans, owners = [[] for _ in sizes], [set() for _ in sizes]
+                if own_runs is not None:
+                    doc, start, stop = (own_runs.field(c).to_numpy() for c in ("doc", "start", "stop"))
                     by = np.lexsort((start, doc))
                     for d, a, z in zip(doc[by].tolist(), start[by].tolist(), stop[by].tolist()):
                         own = spans[d]
@@ -527,6 +539,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                             own[-1][1] = max(z, own[-1][1])
                         else:
                             own.append([a, z])
+                    for d, owner in zip(doc.tolist(), own_runs.field("owner").to_pylist()):
+                        if owner is not None:
+                            owners[d].add(owner)
                 base = np.cumsum(sizes) - sizes
                 kept = []
                 for b, n, own in zip(base.tolist(), sizes.tolist(), spans):
@@ -534,8 +549,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     kept.append(b"".join(data[b + p:b + q] for p, q in zip(edges[::2], edges[1::2])))
                 rest = batch.column("rest").slice(k, 1).flatten()
                 out = [rest, pa.array(sizes), pa.array([[{"start": a, "stop": z} for a, z in s] for s in spans], span),
-                       pa.array(kept, pa.binary())]
-                yield pa.RecordBatch.from_arrays(out, names=["rest", "n_bytes", "spans", "kept"])
+                       pa.array(kept, pa.binary()), pa.array([sorted(o) for o in owners], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
     return joined.select("rest", "sizes", "data", "runs").mapInArrow(cut, schema)
 
