@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from lexiscope.llm.common import stored, table
+from lexiscope.llm.common import slices, stored, table
 from lexiscope.llm.simhash import Forest, components
 from lexiscope.llm.suffix_dedup import (
     LAST, SHARD_BYTES, apply_runs, bucket_bounds, deflate, inflate, removed_bytes, shard_table, unsqueeze,
@@ -36,7 +36,8 @@ from lexiscope.llm.suffix_dedup import (
 SHINGLE_WORDS = 5
 MIN_JACCARD = 0.8
 RECALL = 0.99
-BUCKET_HASHES = 1_000_000
+BUCKET_HASHES = 500_000
+SLICE_BYTES = 1 << 20
 PIECE = 256
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 or c == 10 else 32
              for c in range(256))
@@ -61,6 +62,17 @@ class Paragraphs:
     """The eligible lines of a shard: place, distinct shingles, set digests and band hashes."""
 
     def __init__(self, sizes: np.ndarray, data: bytes, bands: int, rows: int):
+        ends = np.cumsum(sizes)
+        parts, shingles = [], 0
+        for a, z in slices(sizes.tolist(), SLICE_BYTES):
+            shingle, lead, doc, *rest = self._part(sizes[a:z], data[ends[a] - sizes[a]:ends[z - 1]], bands, rows)
+            parts.append((shingle, lead + shingles, doc + a, *rest))
+            shingles += len(shingle)
+        (self.shingle, self.lead, self.doc, self.count, self.start, self.stop, self.set1, self.set2, self.band,
+         self.banded) = (np.concatenate(x) for x in zip(*parts))
+
+    @staticmethod
+    def _part(sizes: np.ndarray, data: bytes, bands: int, rows: int) -> tuple[np.ndarray, ...]:
         ends = np.cumsum(sizes)
         starts = ends - sizes
         texts = [data[a:z] for a, z in zip(starts.tolist(), ends.tolist())]
@@ -86,30 +98,28 @@ class Paragraphs:
         order = np.lexsort((shingle, line))
         shingle, line = shingle[order], line[order]
         new = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (line[1:] != line[:-1])])[:len(line)]
-        self.shingle, line = shingle[new], line[new]
-        self.lead = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])[:len(line)])
-        self.count = np.diff(np.concatenate([self.lead, [len(line)]]))
-        own = line[self.lead]
-        self.doc = np.searchsorted(base, line_start[own], side="right") - 1
-        self.start = line_start[own] - base[self.doc]
+        shingle, line = shingle[new], line[new]
+        lead = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])[:len(line)])
+        count = np.diff(np.concatenate([lead, [len(line)]])).astype(np.int64)
+        own = line[lead]
+        doc = np.searchsorted(base, line_start[own], side="right") - 1
+        start = line_start[own] - base[doc]
         # the line break goes with its line
-        self.stop = np.minimum(line_stop[own] + 1 - base[self.doc], sizes[self.doc])
-        if not len(own):
-            self.set1 = self.set2 = np.zeros(0, np.uint64)
-            self.band = np.zeros((0, bands), np.uint64)
-            self.banded = np.zeros(0, bool)
-            return
-        self.set1 = _mix(np.add.reduceat(_mix(self.shingle), self.lead))
-        self.set2 = _mix(np.add.reduceat(_mix(self.shingle ^ np.uint64(0xA5A5)), self.lead))
+        stop = np.minimum(line_stop[own] + 1 - base[doc], sizes[doc])
         # a partner with other shingles at the threshold needs at least this many
-        self.banded = self.count >= np.ceil(MIN_JACCARD / (1 - MIN_JACCARD) - 1e-9)
-        self.band = np.zeros((len(own), bands), np.uint64)
-        for b in range(bands):
-            h = np.full(len(own), b + 1, np.uint64)
-            for r in range(rows):
-                salt = np.uint64(xxh3_64_intdigest(b"%d" % (b * rows + r)))
-                h = _mix(h ^ np.minimum.reduceat(_mix(self.shingle ^ salt), self.lead))
-            self.band[:, b] = h
+        banded = count >= np.ceil(MIN_JACCARD / (1 - MIN_JACCARD) - 1e-9)
+        band = np.zeros((len(own), bands), np.uint64)
+        set1 = set2 = np.zeros(0, np.uint64)
+        if len(own):
+            set1 = _mix(np.add.reduceat(_mix(shingle), lead))
+            set2 = _mix(np.add.reduceat(_mix(shingle ^ np.uint64(0xA5A5)), lead))
+            for b in range(bands):
+                h = np.full(len(own), b + 1, np.uint64)
+                for r in range(rows):
+                    salt = np.uint64(xxh3_64_intdigest(b"%d" % (b * rows + r)))
+                    h = _mix(h ^ np.minimum.reduceat(_mix(shingle ^ salt), lead))
+                band[:, b] = h
+        return shingle, lead, doc, count, start, stop, set1, set2, band, banded
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct hashes (bands and sets) and how often each occurs here."""
