@@ -47,12 +47,14 @@ class WordTokenizer:
     """
 
     _held: dict[str, WordTokenizer] = {}
+    MARKS = (b"", b".", b",", b"!", b"?", b";", b":")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.marks = {m: self.tokenizer.encode(m.decode(), add_special_tokens=False).ids for m in self.MARKS}
         self.clear()
 
     @classmethod
@@ -62,27 +64,58 @@ class WordTokenizer:
         return cls._held[path]
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.index: dict[bytes, int] = {}  # word -> its place in starts and sizes
+        self.plain: dict[bytes, list[int]] = {}  # ids of lower-case ASCII words
+        self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.index) > CACHED_WORDS:
             self.clear()
         words = [t.split() for t in texts]
         flat = [w for ws in words for w in ws]
-        new = list(dict.fromkeys(w for w in flat if w not in self.index))
-        if new:
-            encoded = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)]
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-            self.ids = np.concatenate([self.ids, np.fromiter((i for e in encoded for i in e), np.uint32)])
-            self.sizes = np.concatenate([self.sizes, np.array([len(e) for e in encoded], np.int64)])
-        at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
-        starts = np.cumsum(self.sizes) - self.sizes
+        known = self.index.get
+        at = np.array([known(w, -1) for w in flat], np.int64)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            self._learn(list(dict.fromkeys([flat[i] for i in missing.tolist()])))
+            at[missing] = [self.index[flat[i]] for i in missing.tolist()]
         counts = self.sizes[at]
-        ids = self.ids[np.repeat(starts[at], counts) + ragged_arange(counts)]
+        ids = self.ids[np.repeat(self.starts[at], counts) + ragged_arange(counts)]
         ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0, *map(len, words)])]
         return [ids[a:z] for a, z in zip(ends[:-1], ends[1:])]
 
+    def _learn(self, new: list[bytes]) -> None:
+        """Encode new words: ASCII words (and one sentence mark after) by the model, all others together."""
+        plain, model = self.plain, self.tokenizer.model
+        found: list[list[int] | None] = []
+        others: list[int] = []
+        for k, w in enumerate(new):
+            low = w.lower()
+            core, mark = (low, b"") if low.isalpha() else (low[:-1], low[-1:])
+            if mark in self.MARKS and core.isalpha():  # normalising leaves them, and each is a word of its own
+                ids = plain.get(core)
+                if ids is None:
+                    ids = plain[core] = [t.id for t in model.tokenize(core.decode())]
+                found.append(ids + self.marks[mark] if mark else ids)
+            else:
+                found.append(None)
+                others.append(k)
+        for i in range(0, len(others), 20_000):
+            part = others[i:i + 20_000]
+            texts = [new[k].decode() for k in part]
+            lengths = np.array([len(t) + 1 for t in texts], np.int64)
+            e = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            ids = e.ids
+            first = np.fromiter((a for a, _ in e.offsets), np.int64, len(ids))
+            bounds = np.searchsorted(first, np.concatenate([[0], np.cumsum(lengths)]))
+            for k, a, z in zip(part, bounds[:-1].tolist(), bounds[1:].tolist()):
+                found[k] = ids[a:z]
+        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+        sizes = np.array([len(f) for f in found], np.int64)
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), np.uint32, int(sizes.sum()))])
+
 
 PIECES = "array<struct<piece:int,start:long,length:long,ids:binary>>"
 _PIECE = pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
