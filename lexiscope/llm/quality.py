@@ -226,7 +226,8 @@ VERDICT_DDL = "struct<" + ", ".join(f.replace(" ", ":") for f in VERDICT.split("
 
 def with_verdict(docs: DataFrame, name: str, text_col: str = "text", lang_col: str = "lang", **limits) -> DataFrame:
     """``docs`` with a struct column ``name`` of counts, distances and verdict."""
-    refs = language_references(docs, text_col, lang_col).toDF(f"{name}_lang", f"{name}_ref")
+    # a small written table: its size is known, so the texts need not move to meet it
+    refs = stored(language_references(docs, text_col, lang_col).toDF(f"{name}_lang", f"{name}_ref"))
     joined = docs.join(refs, F.col(lang_col).cast("string").eqNullSafe(F.col(f"{name}_lang")), "left")
     return joined.select(*[docs[c] for c in docs.columns],
                          quality_verdict(F.col(text_col).cast("string"), F.col(f"{name}_ref"), **limits).alias(name))
