@@ -35,7 +35,7 @@ from lexiscope.llm.suffix_dedup import (
 
 SHINGLE_WORDS = 5
 MIN_JACCARD = 0.8
-RECALL = 0.99
+RECALL = 0.999
 BUCKET_HASHES = 500_000
 SLICE_BYTES = 1 << 20
 PIECE = 256
@@ -198,9 +198,11 @@ def colliding(shards: DataFrame, buckets: int, bands: int, rows: int) -> DataFra
 
 def jaccard_links(classes: DataFrame, min_jaccard: float = MIN_JACCARD, piece: int = PIECE) -> DataFrame:
     """``(a, b)``: forest edges over ``classes(node, shingles, bands)`` that share a band and reach the threshold."""
-    member = classes.select("node", "shingles", F.explode("bands").alias("band"))
+    # most bands are alone once copies are one class: shingles follow only where two classes meet
+    member = classes.select("node", F.explode("bands").alias("band"))
     sizes = member.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pieces = stored(member.join(sizes, "band")
+    met = stored(member.join(sizes, "band"))
+    pieces = stored(met.join(classes.select("node", "shingles"), "node")
                     .groupBy("band", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / piece)).alias("piece"))
                     .agg(F.collect_list("node").alias("nodes"), F.collect_list("shingles").alias("sets")))
     other = pieces.toDF("band", "other", "other_nodes", "other_sets")
