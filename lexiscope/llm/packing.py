@@ -16,7 +16,9 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,25 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_BLANK = np.isin(np.arange(256), [*b" \t\n\r\v\f"])
+#: a lower-case word of Latin-1 letters, and at most one sentence mark
+_PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,!?;:]?)")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level alphabet: printable Latin-1 bytes stand for themselves, all others follow from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(own)]
+    return {b: b for b in own} | {b: 256 + k for k, b in enumerate(rest)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+def byte_letters(word: str) -> str:
+    return word.encode().decode("latin-1").translate(BYTE_LETTERS)
+
+
 class WordTokenizer:
     """Ids of whole texts from a tokenizer whose words never cross ASCII white space.
 
@@ -47,15 +68,17 @@ class WordTokenizer:
     """
 
     _held: dict[str, WordTokenizer] = {}
-    MARKS = (b"", b".", b",", b"!", b"?", b";", b":")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.marks = {m: self.tokenizer.encode(m.decode(), add_special_tokens=False).ids for m in self.MARKS}
-        self.clear()
+        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,!?;:"}
+        self.index: dict[bytes, int] = {}  # word -> its place in starts, sizes and seen
+        self.plain: dict[str, list[int]] = {}  # ids of lower-case Latin words
+        self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.seen = np.zeros(0, np.int64)  # calls of encode that had the word
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -63,39 +86,56 @@ class WordTokenizer:
             cls._held[path] = cls(path)
         return cls._held[path]
 
-    def clear(self) -> None:
-        self.index: dict[bytes, int] = {}  # word -> its place in starts and sizes
-        self.plain: dict[bytes, list[int]] = {}  # ids of lower-case ASCII words
-        self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if len(self.index) > CACHED_WORDS:
-            self.clear()
-        words = [t.split() for t in texts]
-        flat = [w for ws in words for w in ws]
-        known = self.index.get
-        at = np.array([known(w, -1) for w in flat], np.int64)
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            self._learn(list(dict.fromkeys([flat[i] for i in missing.tolist()])))
-            at[missing] = [self.index[flat[i]] for i in missing.tolist()]
+            self._forget()
+        text = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        blank = _BLANK[text]
+        edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        if len(text) and not blank[0]:
+            edges = np.concatenate([[0], edges])
+        starts, sizes = edges[0::2], edges[1::2] - edges[0::2]
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        words = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(text[~blank])]).dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        at = np.fromiter(map(self.index.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            at[new] = np.arange(len(self.index), len(self.index) + len(new))
+            self._learn([distinct[i] for i in new.tolist()])
+        self.seen[at] += 1
+        at = at[words.indices.to_numpy()] if len(starts) else at
         counts = self.sizes[at]
         ids = self.ids[np.repeat(self.starts[at], counts) + ragged_arange(counts)]
-        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0, *map(len, words)])]
+        bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, bounds)]
         return [ids[a:z] for a, z in zip(ends[:-1], ends[1:])]
 
+    def _forget(self) -> None:
+        """Drop the words that came up in one call only (all, if most came up again)."""
+        keep = self.seen > 1
+        if 2 * keep.sum() > CACHED_WORDS:
+            keep[:] = False
+        size = self.sizes[keep]
+        self.ids = self.ids[np.repeat(self.starts[keep], size) + ragged_arange(size)]
+        self.starts, self.sizes, self.seen = np.cumsum(size) - size, size, np.zeros(len(size), np.int64)
+        kept = [w for w, k in zip(self.index, keep.tolist()) if k]
+        self.index = dict(zip(kept, range(len(kept))))
+        self.plain.clear()
+
     def _learn(self, new: list[bytes]) -> None:
-        """Encode new words: ASCII words (and one sentence mark after) by the model, all others together."""
-        plain, model = self.plain, self.tokenizer.model
+        """Encode new words: Latin words (and one sentence mark after) by the model, all others together."""
+        plain, model, match = self.plain, self.tokenizer.model, _PLAIN.fullmatch
         found: list[list[int] | None] = []
         others: list[int] = []
         for k, w in enumerate(new):
-            low = w.lower()
-            core, mark = (low, b"") if low.isalpha() else (low[:-1], low[-1:])
-            if mark in self.MARKS and core.isalpha():  # normalising leaves them, and each is a word of its own
+            m = match(w.decode().lower())
+            if m:  # normalising leaves such a word as it is, and the mark is a word of its own
+                core, mark = m.groups()
                 ids = plain.get(core)
                 if ids is None:
-                    ids = plain[core] = [t.id for t in model.tokenize(core.decode())]
+                    ids = plain[core] = [t.id for t in model.tokenize(core if core.isascii() else byte_letters(core))]
                 found.append(ids + self.marks[mark] if mark else ids)
             else:
                 found.append(None)
@@ -114,6 +154,7 @@ class WordTokenizer:
         sizes = np.array([len(f) for f in found], np.int64)
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
+        self.seen = np.concatenate([self.seen, np.zeros(len(sizes), np.int64)])
         self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), np.uint32, int(sizes.sum()))])
 
 
