@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from lexiscope.operators.util import checkpointed
 
 #: text handled at once inside a task; a single longer text is one slice
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +49,14 @@ def slices(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         yield start, len(sizes)
 
 
+def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[list[bytes]]:
+    """The texts of a column as UTF-8 bytes (null is empty), in lists of at most ``limit`` bytes or one text."""
+    data = texts.cast(pa.binary())
+    sizes = pc.fill_null(pc.binary_length(data), 0).to_pylist()
+    for a, z in slices(sizes, limit):
+        yield [t or b"" for t in data.slice(a, z - a).to_pylist()]
+
+
 def ragged_arange(counts: np.ndarray) -> np.ndarray:
     """0..c-1 for each count c, one after the other."""
     counts = np.asarray(counts, dtype=np.int64)

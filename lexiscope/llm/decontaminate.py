@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscope.llm.common import free_name, slices, stored, table, utf8
+from lexiscope.llm.common import free_name, stored, table, text_slices
 
 WINDOW_WORDS = 10
 #: benchmark text in one broadcast set; larger benchmarks go in several passes
@@ -105,10 +105,10 @@ ARROW_SCAN = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(_SPAN)), ("i
 def scan_windows(text: Column, windows) -> Column:
     """Struct ``(n_words, spans, items)`` of a text against a broadcast ``WindowSet``."""
     def run(texts: pa.Array) -> pa.Array:
-        data, out = utf8(texts), []
-        for a, z in slices([len(t) for t in data]):
+        out = []
+        for part in text_slices(texts):
             out += [{"n_words": n, "spans": [{"start": s, "stop": e} for s, e in spans], "items": sorted(items)}
-                    for n, spans, items in windows.value.scan(data[a:z])]
+                    for n, spans, items in windows.value.scan(part)]
         return pa.array(out, ARROW_SCAN)
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscope.llm.common import slices, table, utf8
+from lexiscope.llm.common import table, text_slices
 
 MIN_DICE = 0.8
 #: A-Z lower-cased; letters, digits and non-ASCII bytes stay; all else parts words
@@ -170,9 +170,9 @@ def license_matches(text: Column, given: list[tuple[str, str]] | None = None, mi
     chosen = templates() if given is None else sorted(given)
 
     def run(texts: pa.Array) -> pa.Array:
-        matcher, data, out = Matcher(chosen, min_dice), utf8(texts), []
-        for a, z in slices([len(t) for t in data]):
-            out += [matcher.scan(t) for t in data[a:z]]
+        matcher, out = Matcher(chosen, min_dice), []
+        for part in text_slices(texts):
+            out += [matcher.scan(t) for t in part]
         return pa.array(out, _MATCHES)
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}

@@ -26,13 +26,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lexiscope.llm.common import ragged_arange, slices, stored, table, utf8
+from lexiscope.llm.common import ragged_arange, stored, table, text_slices
 
 SEQUENCE_TOKENS = 2048
 END_ID = 0
 GROUP_PIECES = 50_000
 #: distinct words that a Python worker keeps the ids of
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 
 
 def word_bpe_path() -> str:
@@ -113,10 +113,8 @@ class WordTokenizer:
         return [ids[a:z] for a, z in zip(ends[:-1], ends[1:])]
 
     def _forget(self) -> None:
-        """Drop the words that came up in one call only (all, if most came up again)."""
-        keep = self.seen > 1
-        if 2 * keep.sum() > CACHED_WORDS:
-            keep[:] = False
+        """Drop the half of the words that came up least."""
+        keep = self.seen > np.median(self.seen)
         size = self.sizes[keep]
         self.ids = self.ids[np.repeat(self.starts[keep], size) + ragged_arange(size)]
         self.starts, self.sizes, self.seen = np.cumsum(size) - size, size, np.zeros(len(size), np.int64)
@@ -127,6 +125,8 @@ class WordTokenizer:
     def _learn(self, new: list[bytes]) -> None:
         """Encode new words: Latin words (and one sentence mark after) by the model, all others together."""
         plain, model, match = self.plain, self.tokenizer.model, _PLAIN.fullmatch
+        if len(plain) > CACHED_WORDS // 3:
+            plain.clear()
         found: list[list[int] | None] = []
         others: list[int] = []
         for k, w in enumerate(new):
@@ -166,14 +166,16 @@ def tokenized_pieces(text: Column, path: str | Callable[[], str], max_tokens: in
     """Pieces of at most ``max_tokens`` ids (little-endian 32-bit) of a text and its closing id."""
     def run(texts: pa.Array) -> pa.Array:
         tokenizer = WordTokenizer.of(path() if callable(path) else path)
-        data, out = utf8(texts), []
-        for a, z in slices([len(t) for t in data]):
-            for ids in tokenizer.encode(data[a:z]):
-                ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
-                out.append([{"piece": k, "start": s, "length": min(max_tokens, len(ids) - s),
-                             "ids": ids[s:s + max_tokens].tobytes()}
-                            for k, s in enumerate(range(0, len(ids), max_tokens))])
-        return pa.array(out, pa.list_(_PIECE))
+        out = []
+        for part in text_slices(texts, 2 << 20):
+            pieces = []
+            for ids in tokenizer.encode(part):
+                ids = np.append(ids, np.uint32(END_ID)).astype("<u4", copy=False)
+                pieces.append([{"piece": k, "start": s, "length": min(max_tokens, len(ids) - s),
+                                "ids": ids[s:s + max_tokens].tobytes()}
+                               for k, s in enumerate(range(0, len(ids), max_tokens))])
+            out.append(pa.array(pieces, pa.list_(_PIECE)))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(_PIECE))
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, PIECES).asNondeterministic()(text.cast("string"))

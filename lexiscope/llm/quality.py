@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiscope.llm.common import slices, stored, table, utf8
+from lexiscope.llm.common import stored, table, text_slices
 
 SYMBOLS = b"#*$%&|<>"
 REPEAT_WINDOW = 8
@@ -136,7 +136,7 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
                     names=["lang", "word", "n"])
 
         for b in batches:
-            for lang, t in zip(b.column(0).to_pylist(), utf8(b.column(1))):
+            for lang, t in zip(b.column(0).to_pylist(), (t for part in text_slices(b.column(1)) for t in part)):
                 c = words.setdefault(lang, Counter())
                 before = len(c)
                 c.update(t.translate(FOLD).split())
@@ -188,21 +188,19 @@ def quality_verdict(text: Column, reference: Column, max_char_distance: float =
     A distance is null (and passes) where the text is under its minimum length.
     """
     def judge(texts: pa.Array, references: pa.Array) -> pa.Array:
-        data, refs = utf8(texts), references.to_pylist()
-        known: dict[str, tuple] = {}
+        refs = references.dictionary_encode()
+        known = [_parsed(r) for r in refs.dictionary.to_pylist()]
+        which = refs.indices.to_pylist()
         out: list[dict] = []
-        for a, z in slices([len(t) for t in data]):
-            counts = base_counts(data[a:z])
-            for i in range(a, z):
-                row = {k: int(v[i - a]) for k, v in counts.items()}
+        for part in text_slices(texts):
+            counts = base_counts(part)
+            for i, text in enumerate(part):
+                row = {k: int(v[i]) for k, v in counts.items()}
                 row["base_failed"] = (row["n_words"] < base_min_words
                                       or 100 * row["n_repeat_words"] > max_repeat_percent * row["n_words"])
-                ref = refs[i]
-                if ref not in known:
-                    known[ref] = _parsed(ref)
-                classes, index, common = known[ref]
-                seen = class_counts(data[i])
-                words = data[i].translate(FOLD).split()
+                classes, index, common = known[which[len(out)]]
+                seen = class_counts(text)
+                words = text.translate(FOLD).split()
                 row["char_distance"] = js_distance(seen, classes) if seen.sum() >= min_chars else None
                 row["word_distance"] = None
                 if len(words) >= min_words and index:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscope.llm.common import free_name, ragged_arange, slices, stored, table, utf8
+from lexiscope.llm.common import free_name, ragged_arange, slices, stored, table, text_slices
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SHINGLE_WORDS = 3
@@ -61,9 +61,9 @@ def fingerprint(data: bytes, width: int = SHINGLE_WORDS) -> int:
 def simhash64(text: Column, width: int = SHINGLE_WORDS) -> Column:
     """The fingerprint of a text as a (signed) long."""
     def run(texts: pa.Array) -> pa.Array:
-        data, out = utf8(texts), []
-        for a, z in slices([len(t) for t in data]):
-            out += [fingerprint(t, width) for t in data[a:z]]
+        out = []
+        for part in text_slices(texts):
+            out += [fingerprint(t, width) for t in part]
         return pa.array(np.array(out, np.uint64).view(np.int64), pa.int64())
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
