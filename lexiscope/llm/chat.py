@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscope.llm.common import table
+from lexiscope.llm.common import small_batches, table
 
 OPEN, SAYS, DONE, ESCAPE = "[TURN{}]", "[SAYS]", "[DONE]", "\\"
 #: fixed values: control strings of common chat formats, never left bare in a rendered turn
@@ -182,6 +182,7 @@ def read_back(formatted: DataFrame, partitions: int | None = None) -> DataFrame:
     return ordered.mapInArrow(run, READ_BACK)
 
 
+@small_batches
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")],

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,24 @@ from lexiscope.operators.util import checkpointed
 SLICE_BYTES = 1 << 20
 
 
+#: Spark's default and ours: rows and bytes of an Arrow batch; rows here are whole texts
+ARROW_BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16m"),
+}
+
+
+def small_batches(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Run ``query(spark, ...)`` with Arrow batches fit for long texts, unless the session has set its own."""
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args, **options) -> DataFrame:
+        for key, (default, ours) in ARROW_BATCH.items():
+            if spark.conf.get(key, None) == default:
+                spark.conf.set(key, ours)
+        return query(spark, *args, **options)
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscope.llm.common import free_name, stored, table, text_slices
+from lexiscope.llm.common import free_name, small_batches, stored, table, text_slices
 
 WINDOW_WORDS = 10
 #: benchmark text in one broadcast set; larger benchmarks go in several passes
@@ -192,6 +192,7 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
         "doc_id", "hits.n_words", hit_words(F.col("hits.spans")).alias("n_hit"), "hits.spans", "hits.items")
 
 
+@small_batches
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     listed = F.concat_ws(",", F.array_sort("items"))
@@ -200,6 +201,7 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
                        (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@small_batches
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the benchmark words; those of which no word is left go."""
     h = free_name(docs, "benchmark_hits")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiscope.llm.common import stored, table, utf8
+from lexiscope.llm.common import small_batches, stored, table, utf8
 
 BUCKETS = 1 << 14
 SAMPLE_PER_LANGUAGE = 500
@@ -210,6 +210,7 @@ def identify_languages(pages: DataFrame, model: TextModel, id_col: str = "page_i
                          best(F.col("score")).alias("lang"), F.round(1 / _total(weights), 6).alias("probability"))
 
 
+@small_batches
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(table(spark, sf_dir, "documents"))
     return identify_languages(table(spark, sf_dir, "pages"), model)

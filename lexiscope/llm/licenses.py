@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscope.llm.common import table, text_slices
+from lexiscope.llm.common import small_batches, table, text_slices
 
 MIN_DICE = 0.8
 #: A-Z lower-cased; letters, digits and non-ASCII bytes stay; all else parts words
@@ -191,6 +191,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         "matches")
 
 
+@small_batches
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents")).drop("matches").withColumn(
         "licenses", F.concat_ws(",", "licenses"))

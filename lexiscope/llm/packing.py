@@ -26,13 +26,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lexiscope.llm.common import ragged_arange, stored, table, text_slices
+from lexiscope.llm.common import ragged_arange, small_batches, stored, table, text_slices
 
 SEQUENCE_TOKENS = 2048
 END_ID = 0
 GROUP_PIECES = 50_000
 #: distinct words that a Python worker keeps the ids of
-CACHED_WORDS = 300_000
+CACHED_WORDS = 600_000
 
 
 def word_bpe_path() -> str:
@@ -125,7 +125,7 @@ class WordTokenizer:
     def _learn(self, new: list[bytes]) -> None:
         """Encode new words: Latin words (and one sentence mark after) by the model, all others together."""
         plain, model, match = self.plain, self.tokenizer.model, _PLAIN.fullmatch
-        if len(plain) > CACHED_WORDS // 3:
+        if len(plain) > CACHED_WORDS // 4:
             plain.clear()
         found: list[list[int] | None] = []
         others: list[int] = []
@@ -259,6 +259,7 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = SEQUENCE
     return pieces.withColumn("pack_group", deal).groupBy("pack_group").applyInPandas(run, schema)
 
 
+@small_batches
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"))
 
@@ -269,5 +270,6 @@ def packed_documents(docs: DataFrame) -> DataFrame:
     return pack(stored(pieces))
 
 
+@small_batches
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packed_documents(docs)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from lexiscope.llm.common import slices, stored, table
+from lexiscope.llm.common import slices, small_batches, stored, table
 from lexiscope.llm.simhash import Forest, components
 from lexiscope.llm.suffix_dedup import (
     LAST, SHARD_BYTES, apply_runs, bucket_bounds, deflate, inflate, removed_bytes, shard_table, unsqueeze,
@@ -260,6 +260,7 @@ def remove_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return apply_runs(shards, runs)
 
 
+@small_batches
 def op4_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_paragraphs(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("rest.doc_id", "n_bytes", removed_bytes(F.col("spans")).alias("n_removed"),

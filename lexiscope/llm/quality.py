@@ -15,13 +15,14 @@ from __future__ import annotations
 
 import json
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiscope.llm.common import stored, table, text_slices
+from lexiscope.llm.common import small_batches, stored, table, text_slices
 
 SYMBOLS = b"#*$%&|<>"
 REPEAT_WINDOW = 8
@@ -125,15 +126,16 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
         held = 0
 
         def flush():
-            rows = [(lang, w, n) for lang, c in words.items() for w, n in c.items()]
-            rows += [(lang, b" %d" % i, int(n)) for lang, c in classes.items() for i, n in enumerate(c)]
+            for lang, c in words.items():
+                c.update({b" %d" % i: int(n) for i, n in enumerate(classes[lang])})  # words hold no blank
+                rows = iter(c.items())
+                while part := list(islice(rows, 20_000)):
+                    word, n = zip(*part)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(part), pa.string()), pa.array(word, pa.binary()), pa.array(n, pa.int64())],
+                        names=["lang", "word", "n"])
             words.clear()
             classes.clear()
-            for i in range(0, len(rows), 50_000):
-                lang, word, n = zip(*rows[i:i + 50_000])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(lang, pa.string()), pa.array(word, pa.binary()), pa.array(n, pa.int64())],
-                    names=["lang", "word", "n"])
 
         for b in batches:
             for lang, t in zip(b.column(0).to_pylist(), (t for part in text_slices(b.column(1)) for t in part)):
@@ -142,7 +144,7 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
                 c.update(t.translate(FOLD).split())
                 held += len(c) - before
                 classes[lang] = classes.get(lang, 0) + class_counts(t)
-                if held > 400_000:  # partial sums: the task's memory stays bounded
+                if held > 150_000:  # partial sums: the task's memory stays bounded
                     yield from flush()
                     held = 0
         yield from flush()
@@ -238,10 +240,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return with_verdict(d, "verdict", **limits).select("doc_id", "verdict.*")
 
 
+@small_batches
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+@small_batches
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that pass the rules, all columns as they came."""
     from lexiscope.llm.common import free_name

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscope.llm.common import free_name, ragged_arange, slices, stored, table, text_slices
+from lexiscope.llm.common import free_name, ragged_arange, slices, small_batches, stored, table, text_slices
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SHINGLE_WORDS = 3
@@ -220,10 +220,12 @@ def simhash_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
+@small_batches
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@small_batches
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: that with the smallest id."""
     fp, i = free_name(docs, "simhash_fp"), free_name(docs, "simhash_id")

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, LongType, StructField, StructType
 from xxhash import xxh3_64_digest
 
-from lexiscope.llm.common import bucketed, ragged_arange, slices, stored, table, utf8
+from lexiscope.llm.common import bucketed, ragged_arange, slices, small_batches, stored, table, utf8
 
 LENGTH = 100
 SHARD_BYTES = 8 << 20
@@ -559,12 +559,14 @@ def removed_bytes(spans: Column) -> Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
 
 
+@small_batches
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("rest.doc_id", "n_bytes", removed_bytes(F.col("spans")).alias("n_removed"),
                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@small_batches
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with what is left of their text; those of which nothing is left go.
 

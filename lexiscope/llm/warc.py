@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscope.llm.common import stored, table
+from lexiscope.llm.common import small_batches, stored, table
 from lexiscope.session import scratch_path
 
 VOLUME_BYTES = 16 << 20
@@ -239,6 +239,7 @@ def capture_index(pages: DataFrame, path: str, **options) -> DataFrame:
     return merge_runs(stored(read_archives(pages.sparkSession, path)))
 
 
+@small_batches
 def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = capture_index(table(spark, sf_dir, "pages"), scratch_path(spark, f"warc-{uuid4().hex}"))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "date")
