@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Callable, Iterator
 
@@ -92,3 +93,12 @@ def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     spark, name = df.sparkSession, f"lexiscope_{uuid4().hex}"
     df.write.bucketBy(buckets, key).option("path", scratch_path(spark, name)).saveAsTable(name)
     return spark.table(name)
+
+
+def release_memory() -> None:
+    """Give freed memory back to the machine: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own counsel
+        pass

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscope.llm.common import free_name, small_batches, stored, table, text_slices
+from lexiscope.llm.common import free_name, release_memory, small_batches, stored, table, text_slices
 
 WINDOW_WORDS = 10
 #: benchmark text in one broadcast set; larger benchmarks go in several passes
@@ -109,6 +109,7 @@ def scan_windows(text: Column, windows) -> Column:
         for part in text_slices(texts):
             out += [{"n_words": n, "spans": [{"start": s, "stop": e} for s, e in spans], "items": sorted(items)}
                     for n, spans, items in windows.value.scan(part)]
+        release_memory()
         return pa.array(out, ARROW_SCAN)
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}

@@ -22,17 +22,18 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import DataType, LongType, StructField, StructType
 
-from lexiscope.llm.common import ragged_arange, small_batches, stored, table, text_slices
+from lexiscope.llm.common import ragged_arange, release_memory, small_batches, stored, table, text_slices
 
 SEQUENCE_TOKENS = 2048
 END_ID = 0
 GROUP_PIECES = 50_000
 #: distinct words that a Python worker keeps the ids of
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_000_000
 
 
 def word_bpe_path() -> str:
@@ -67,28 +68,22 @@ class WordTokenizer:
     Each distinct word is encoded once and its ids are kept (up to a bound).
     """
 
-    _held: dict[str, WordTokenizer] = {}
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,!?;:"}
-        self.index: dict[bytes, int] = {}  # word -> its place in starts, sizes and seen
+        self._clear()
+
+    def _clear(self) -> None:
+        self.words = pa.array([], pa.large_binary())  # a word's place here is that of its starts and sizes
         self.plain: dict[str, list[int]] = {}  # ids of lower-case Latin words
         self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.seen = np.zeros(0, np.int64)  # calls of encode that had the word
-
-    @classmethod
-    def of(cls, path: str) -> WordTokenizer:
-        if path not in cls._held:
-            cls._held[path] = cls(path)
-        return cls._held[path]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.index) > CACHED_WORDS:
-            self._forget()
+        if len(self.words) > CACHED_WORDS:
+            self._clear()
         text = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
         blank = _BLANK[text]
         edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
@@ -98,13 +93,11 @@ class WordTokenizer:
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         words = pa.LargeBinaryArray.from_buffers(
             pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(text[~blank])]).dictionary_encode()
-        distinct = words.dictionary.to_pylist()
-        at = np.fromiter(map(self.index.get, distinct, repeat(-1)), np.int64, len(distinct))
+        at = pc.fill_null(pc.index_in(words.dictionary, value_set=self.words), -1).to_numpy().astype(np.int64)
         new = np.flatnonzero(at < 0)
         if len(new):
-            at[new] = np.arange(len(self.index), len(self.index) + len(new))
-            self._learn([distinct[i] for i in new.tolist()])
-        self.seen[at] += 1
+            at[new] = np.arange(len(self.words), len(self.words) + len(new))
+            self._learn(words.dictionary.take(pa.array(new)))
         at = at[words.indices.to_numpy()] if len(starts) else at
         counts = self.sizes[at]
         ids = self.ids[np.repeat(self.starts[at], counts) + ragged_arange(counts)]
@@ -112,20 +105,11 @@ class WordTokenizer:
         ends = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(starts, bounds)]
         return [ids[a:z] for a, z in zip(ends[:-1], ends[1:])]
 
-    def _forget(self) -> None:
-        """Drop the half of the words that came up least."""
-        keep = self.seen > np.median(self.seen)
-        size = self.sizes[keep]
-        self.ids = self.ids[np.repeat(self.starts[keep], size) + ragged_arange(size)]
-        self.starts, self.sizes, self.seen = np.cumsum(size) - size, size, np.zeros(len(size), np.int64)
-        kept = [w for w, k in zip(self.index, keep.tolist()) if k]
-        self.index = dict(zip(kept, range(len(kept))))
-        self.plain.clear()
-
-    def _learn(self, new: list[bytes]) -> None:
+    def _learn(self, words: pa.Array) -> None:
         """Encode new words: Latin words (and one sentence mark after) by the model, all others together."""
+        new = words.to_pylist()
         plain, model, match = self.plain, self.tokenizer.model, _PLAIN.fullmatch
-        if len(plain) > CACHED_WORDS // 4:
+        if len(plain) > CACHED_WORDS // 10:
             plain.clear()
         found: list[list[int] | None] = []
         others: list[int] = []
@@ -150,43 +134,46 @@ class WordTokenizer:
             bounds = np.searchsorted(first, np.concatenate([[0], np.cumsum(lengths)]))
             for k, a, z in zip(part, bounds[:-1].tolist(), bounds[1:].tolist()):
                 found[k] = ids[a:z]
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+        self.words = pa.concat_arrays([self.words, words])
         sizes = np.array([len(f) for f in found], np.int64)
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.seen = np.concatenate([self.seen, np.zeros(len(sizes), np.int64)])
         self.ids = np.concatenate([self.ids, np.fromiter((i for f in found for i in f), np.uint32, int(sizes.sum()))])
 
 
-PIECES = "array<struct<piece:int,start:long,length:long,ids:binary>>"
-_PIECE = pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
-
-
-def tokenized_pieces(text: Column, path: str | Callable[[], str], max_tokens: int = SEQUENCE_TOKENS) -> Column:
-    """Pieces of at most ``max_tokens`` ids (little-endian 32-bit) of a text and its closing id."""
-    def run(texts: pa.Array) -> pa.Array:
-        tokenizer = WordTokenizer.of(path() if callable(path) else path)
-        out = []
-        for part in text_slices(texts, 2 << 20):
-            pieces = []
-            for ids in tokenizer.encode(part):
-                ids = np.append(ids, np.uint32(END_ID)).astype("<u4", copy=False)
-                pieces.append([{"piece": k, "start": s, "length": min(max_tokens, len(ids) - s),
-                                "ids": ids[s:s + max_tokens].tobytes()}
-                               for k, s in enumerate(range(0, len(ids), max_tokens))])
-            out.append(pa.array(pieces, pa.list_(_PIECE)))
-        return pa.concat_arrays(out) if out else pa.array([], pa.list_(_PIECE))
-
-    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, PIECES).asNondeterministic()(text.cast("string"))
-
-
 def token_pieces(docs: DataFrame, path: str | Callable[[], str] = word_bpe_path, id_col: str = "doc_id",
                  text_col: str = "text", max_tokens: int = SEQUENCE_TOKENS) -> DataFrame:
-    """``(doc_id, piece, start, length, ids)``; only texts of more than ``max_tokens`` ids are cut."""
-    pieces = docs.select(F.col(id_col).alias("doc_id"),
-                         F.explode(tokenized_pieces(F.col(text_col), path, max_tokens)).alias("p"))
-    return pieces.select("doc_id", "p.*")
+    """``(doc_id, piece, start, length, ids)``: the ids (little-endian 32-bit) of each text and its closing id.
+
+    Only texts of more than ``max_tokens`` ids are cut.
+    """
+    chosen = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    schema = StructType([chosen.schema["doc_id"], *DataType.fromDDL(
+        "piece int, start long, length long, ids binary").fields])
+
+    def run(batches):
+        tokenizer = WordTokenizer(path() if callable(path) else path)
+        for batch in batches:
+            at = 0
+            for part in text_slices(batch.column(1), 4 << 20):
+                row, piece, start, length, ids = [], [], [], [], []
+                for k, own in enumerate(tokenizer.encode(part), at):
+                    own = np.append(own, np.uint32(END_ID)).astype("<u4", copy=False)
+                    for n, s in enumerate(range(0, len(own), max_tokens)):
+                        row.append(k)
+                        piece.append(n)
+                        start.append(s)
+                        length.append(min(max_tokens, len(own) - s))
+                        ids.append(own[s:s + max_tokens].tobytes())
+                at += len(part)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()),
+                     pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
+                    names=schema.names)
+        del tokenizer
+        release_memory()
+
+    return chosen.mapInArrow(run, schema)
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

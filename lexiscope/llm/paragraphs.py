@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from lexiscope.llm.common import slices, small_batches, stored, table
+from lexiscope.llm.common import release_memory, slices, small_batches, stored, table
 from lexiscope.llm.simhash import Forest, components
 from lexiscope.llm.suffix_dedup import (
     LAST, SHARD_BYTES, apply_runs, bucket_bounds, deflate, inflate, removed_bytes, shard_table, unsqueeze,
@@ -148,6 +148,7 @@ def colliding(shards: DataFrame, buckets: int, bands: int, rows: int) -> DataFra
                         [pa.array([b for b, _ in out], pa.int64()),
                          pa.array([batch.column("shard_id")[k].as_py()] * len(out), pa.int64()),
                          pa.array([x for _, x in out], pa.binary())], names=["bucket", "shard_id", "list"])
+        release_memory()
 
     def merge(lists: pa.Table) -> pa.Table:
         each = [inflate(b, 1)[0] for b in lists["list"].to_pylist()]
@@ -192,6 +193,7 @@ def colliding(shards: DataFrame, buckets: int, bands: int, rows: int) -> DataFra
                 for i in range(0, len(out), 20_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i:i + 20_000]), types)],
                                                      names=names)
+        release_memory()
 
     return shards.select("shard_id", "ids", "sizes", "data").join(per_shard, "shard_id").mapInArrow(hits, schema)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiscope.llm.common import small_batches, stored, table, text_slices
+from lexiscope.llm.common import release_memory, small_batches, stored, table, text_slices
 
 SYMBOLS = b"#*$%&|<>"
 REPEAT_WINDOW = 8
@@ -148,6 +148,7 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
                     yield from flush()
                     held = 0
         yield from flush()
+        release_memory()
 
     counts = (docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
               .mapInArrow(count, "lang string, word binary, n long")
@@ -213,7 +214,9 @@ def quality_verdict(text: Column, reference: Column, max_char_distance: float =
                                    or (row["char_distance"] or 0) > max_char_distance
                                    or (row["word_distance"] or 0) > max_word_distance)
                 out.append(row)
-        return pa.array(out, ARROW_VERDICT)
+        done = pa.array(out, ARROW_VERDICT)
+        release_memory()
+        return done
 
     judge.__annotations__ = {"texts": pa.Array, "references": pa.Array, "return": pa.Array}
     return F.arrow_udf(judge, VERDICT_DDL).asNondeterministic()(text, reference)

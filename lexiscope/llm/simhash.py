@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscope.llm.common import free_name, ragged_arange, slices, small_batches, stored, table, text_slices
+from lexiscope.llm.common import free_name, ragged_arange, release_memory, slices, small_batches, stored, table, text_slices
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SHINGLE_WORDS = 3
@@ -64,6 +64,7 @@ def simhash64(text: Column, width: int = SHINGLE_WORDS) -> Column:
         out = []
         for part in text_slices(texts):
             out += [fingerprint(t, width) for t in part]
+        release_memory()
         return pa.array(np.array(out, np.uint64).view(np.int64), pa.int64())
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
@@ -165,6 +166,7 @@ def tile_links(fps: DataFrame, radius: int = MAX_DISTANCE, parts: int = PARTS,
         for i in range(0, len(edges), 50_000):
             part = edges[i:i + 50_000].copy().view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["a", "b"])
+        release_memory()
 
     return pairs.mapInArrow(compare, "a long, b long")
 

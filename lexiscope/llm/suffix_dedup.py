@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, LongType, StructField, StructType
 from xxhash import xxh3_64_digest
 
-from lexiscope.llm.common import bucketed, ragged_arange, slices, small_batches, stored, table, utf8
+from lexiscope.llm.common import bucketed, ragged_arange, release_memory, slices, small_batches, stored, table, utf8
 
 LENGTH = 100
 SHARD_BYTES = 8 << 20
@@ -304,6 +304,7 @@ def shard_table(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> Da
                     pa.ListArray.from_arrays(ends, batch.column(2).slice(a, z - a)),
                     pa.array([squeeze(data)], pa.binary())], names=schema.names)
                 number += 1
+        release_memory()
 
     return bucketed(chosen.mapInArrow(run, schema), "shard_id", buckets)
 
@@ -330,6 +331,7 @@ def anchor_codes(shards: DataFrame, length: int, buckets: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([k for k, _ in rows], pa.int64()), pa.array([s.shard_id] * len(rows), pa.int64()),
                          pa.array([b for _, b in rows], pa.binary())], names=["bucket", "shard_id", "list"])
+        release_memory()
 
     def merge(lists: pa.Table) -> pa.Table:
         codes = merge_anchors(lists["shard_id"].to_numpy(), lists["list"].to_pylist())
@@ -373,6 +375,7 @@ def settle_shards(shards: DataFrame, codes: DataFrame, length: int, buckets: int
                 code[s.entries] = known
                 # a copy of open surroundings in its own shard is settled; its first stays open
                 yield from _settled(s, code, length)
+        release_memory()
 
     return joined.mapInArrow(settle, FOUND)
 
@@ -551,6 +554,7 @@ def apply_runs(shards: DataFrame, runs: DataFrame) -> DataFrame:
                 out = [rest, pa.array(sizes), pa.array([[{"start": a, "stop": z} for a, z in s] for s in spans], span),
                        pa.array(kept, pa.binary()), pa.array([sorted(o) for o in owners], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(out, names=schema.names)
+        release_memory()
 
     return joined.select("rest", "sizes", "data", "runs").mapInArrow(cut, schema)
 
