@@ -70,17 +70,19 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     """
     n = len(data)
     key = words_at(data)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key[::-1], kind="stable")
+    order = n - 1 - order  # of equal bytes the later position first: the shorter one, if zeros stand past the end
     slot = np.arange(n)
 
-    def starts(sorted_key: np.ndarray, slots: np.ndarray) -> np.ndarray:
-        new = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
+    def starts(sorted_key: np.ndarray, slots: np.ndarray, short: np.ndarray | bool = False) -> np.ndarray:
+        new = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]) | short
         return np.maximum.accumulate(np.where(new, slots, 0))
 
     group = np.empty(n + 1, np.int64)
     group[n] = -1  # past the end
     if n:
-        group[order] = starts(key[order], slot)
+        after_short = np.concatenate([[False], order[:-1] > n - 8])  # suffixes under eight bytes equal no other
+        group[order] = starts(key[order], slot, after_short)
     h = 8
     while n:
         size = np.bincount(group[:n], minlength=n)
