@@ -37,9 +37,9 @@ def truncate_tokens(token_rows: DataFrame, max_tokens: int, pos_col: str = "pos"
 
 def remove_stopwords(token_rows: DataFrame, stopwords, term_col: str = "term",
                      max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Drop tokens found in ``stopwords`` (a Python collection or a one-column DataFrame)."""
+    """Drop tokens found in ``stopwords`` (a Python collection or a one-column DataFrame), lower-cased."""
     if isinstance(stopwords, DataFrame):
-        sw = stopwords.select(F.col(stopwords.columns[0]).alias(term_col)).distinct()
+        sw = stopwords.select(F.lower(F.col(stopwords.columns[0])).alias(term_col)).distinct()
         return token_rows.join(checked_broadcast(sw, max_broadcast_rows), term_col, "left_anti")
     words = sorted({str(w).lower() for w in stopwords})
     if len(words) <= _INLINE_STOPWORDS:

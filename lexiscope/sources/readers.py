@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiscope.functions.text import nonblank, strip_bom, strip_text
+from lexiscope.functions.text import strip_bom, strip_text
 
 
 def _strings(*names: str) -> T.StructType:
@@ -42,24 +42,29 @@ def read_collection(spark: SparkSession, path: str, id_tag: str = "docno",
     return with_load_order(out).select("doc_id", "doc_idx", "text")
 
 
-def read_rootless_collection(spark: SparkSession, path: str,
-                             text_tags: Sequence[str] = ("title", "author", "bib", "text"),
+def read_rootless_collection(spark: SparkSession, path: str, text_tags: Sequence[str] | None = None,
                              id_tag: str = "docno", row_tag: str = "doc") -> DataFrame:
     """A file that is a bare concatenation of ``<doc>`` records (no root element).
 
-    Records are split on the closing tag (splittable text source), parsed
-    with ``from_xml``; ``text`` = blank-join of the stripped non-empty children
-    in ``text_tags`` order.  A leading BOM or blank lines are tolerated.
+    Records are split on the closing tag (splittable text source); the opening
+    tag may have attributes.  ``text`` = blank-join of the stripped non-empty
+    texts of all children but the id, in document order, repeated children
+    included (or of the children named in ``text_tags`` only).  A leading BOM
+    or blank lines are tolerated; a malformed record fails the read.
     """
     close = f"</{row_tag}>"
-    schema = _strings(id_tag, *text_tags)
-    raw = (spark.read.option("lineSep", close).text(path)
-           .filter(F.col("value").contains(f"<{row_tag}>"))
-           .select(F.concat(F.substring_index("value", f"<{row_tag}>", -1), F.lit(close)).alias("rec")))
-    rec = raw.select(F.concat(F.lit(f"<{row_tag}>"), F.col("rec")).alias("rec"))
-    parsed = rec.select(F.from_xml("rec", schema, {"mode": "FAILFAST"}).alias("x")).select("x.*")
+    wanted = f"not(self::{id_tag})"
+    if text_tags is not None:
+        wanted += " and (" + " or ".join(f"self::{t}" for t in text_tags) + ")" if text_tags else " and false()"
+    rec = (spark.read.option("lineSep", close).text(path)
+           .select(F.regexp_extract("value", rf"(?s)<{row_tag}(?:\s[^>]*)?>.*", 0).alias("rec"))
+           .filter(F.col("rec") != "").select(F.concat("rec", F.lit(close)).alias("rec")))
+    # a child's own text stands before its first element
+    texts = F.xpath("rec", F.lit(f"/{row_tag}/*[{wanted}]/text()[not(preceding-sibling::*)]"))
+    parsed = rec.select(F.xpath_string("rec", F.lit(f"/{row_tag}/{id_tag}")).alias(id_tag), texts.alias("texts"))
+    strip = lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")
     out = parsed.select(strip_text(id_tag).alias("doc_id"),
-                        F.concat_ws(" ", *[nonblank(c) for c in text_tags]).alias("text"))
+                        F.concat_ws(" ", F.filter(F.transform("texts", strip), lambda t: t != "")).alias("text"))
     return with_load_order(out).select("doc_id", "doc_idx", "text")
 
 
