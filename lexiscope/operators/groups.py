@@ -1,66 +1,57 @@
 """Order-based operators that must not pin a whole group to one task.
 
-Both operators split the ordering key into ``n_buckets`` ranges of equal
-width (from the key's min and max, read as scalar subqueries).  With unique
-integral keys a bucket holds at most ``width`` rows whatever the group size,
-so a hot group (one source holding a third of all rows) is spread over many
-tasks.  The per-bucket summaries are bounded by ``groups * n_buckets`` rows.
+Rows are dealt by ranges of the ordering key (sampled boundaries, so an
+outlying key or a hot group does not fill one range), sorted inside each range
+and written once with their place in it.  A position is the number of rows in
+the ranges before (one number per range) plus that place: no window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiscope.operators.util import checkpointed
 
-def _bucket(df: DataFrame, order_col: str, n_buckets: int) -> Column:
-    lo = df.agg(F.min(order_col).cast("double")).scalar()
-    hi = df.agg(F.max(order_col).cast("double")).scalar()
-    width = (hi - lo + F.lit(1.0)) / F.lit(float(n_buckets))
-    return F.floor((F.col(order_col).cast("double") - lo) / width).cast("bigint")
+#: ``monotonically_increasing_id`` keeps the row's place in its partition in the lower 33 bits
+_PLACE_BITS = 33
+
+
+def dense_positions(df: DataFrame, pos_col: str = "doc_idx") -> DataFrame:
+    """Dense 0-based positions in the present order of partitions and rows."""
+    x = checkpointed(df.withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftright("_place", _PLACE_BITS)
+    counts = x.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row per partition
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    place = F.col("_place").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    return (x.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+            .withColumn(pos_col, (F.col("_off") + place).cast("bigint"))
+            .select(*df.columns, pos_col))
+
+
+def with_positions(df: DataFrame, key_cols: str | Sequence[str], pos_col: str = "doc_idx") -> DataFrame:
+    """Dense 0-based positions in the order of the (unique) key."""
+    keys = [key_cols] if isinstance(key_cols, str) else list(key_cols)
+    return dense_positions(df.repartitionByRange(*keys).sortWithinPartitions(*keys), pos_col)
 
 
 def next_in_group(df: DataFrame, group_cols: Sequence[str], order_col: str,
-                  value_cols: Sequence[str], n_buckets: int = 4096,
-                  prefix: str = "next_") -> DataFrame:
+                  value_cols: Sequence[str] = (), prefix: str = "next_") -> DataFrame:
     """Add the values of the next row (by ``order_col``) in the same group.
 
     Equivalent to ``lead(v) over (partition by group order by order_col)`` for
     unique keys.  Adds ``{prefix}{order_col}`` and ``{prefix}{v}`` columns; they
-    are NULL for the last row of a group.
-    """
-    group_cols = list(group_cols)
-    b = "_bucket"
-    x = df.withColumn(b, _bucket(df, order_col, n_buckets))
-    w_in = Window.partitionBy(*group_cols, b).orderBy(order_col)
-    carried = [order_col, *value_cols]
-    x = x.select("*", *[F.lead(c).over(w_in).alias(f"_in_{c}") for c in carried])
-    heads = (x.groupBy(*group_cols, b)
-             .agg(F.min_by(F.struct(*[F.col(c) for c in carried]), F.col(order_col)).alias("_head")))
-    w_b = Window.partitionBy(*group_cols).orderBy(b)
-    next_heads = heads.select(*group_cols, b, F.lead("_head").over(w_b).alias("_nhead"))
-    y = x.join(next_heads, [*group_cols, b], "left")
-    has_in = F.col(f"_in_{order_col}").isNotNull()
-    outs = [F.when(has_in, F.col(f"_in_{c}")).otherwise(F.col("_nhead")[c]).alias(f"{prefix}{c}")
-            for c in carried]
-    return y.select(*df.columns, *outs)
-
-
-def with_positions(df: DataFrame, key_col: str, pos_col: str = "doc_idx",
-                   n_buckets: int = 4096) -> DataFrame:
-    """Dense 0-based positions in ``key_col`` order (unique integral keys).
-
-    Per-bucket counts (at most ``n_buckets`` rows) give each bucket's offset;
-    the position is offset + row number inside the bucket.  No global window.
+    are NULL for the last row of a group.  Rows meet their successors by position.
     """
-    b = "_bucket"
-    x = df.withColumn(b, _bucket(df, key_col, n_buckets))
-    counts = x.groupBy(b).agg(F.count(F.lit(1)).alias("_n"))
-    w_all = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(b, F.coalesce(F.sum("_n").over(w_all), F.lit(0)).alias("_off"))
-    w_in = Window.partitionBy(b).orderBy(key_col)
-    return (x.join(F.broadcast(offsets), b)  # bounded: n_buckets rows
-            .withColumn(pos_col, (F.col("_off") + F.row_number().over(w_in) - 1).cast("bigint"))
-            .drop(b, "_off"))
+    groups, carried = list(group_cols), [order_col, *value_cols]
+    x = with_positions(df, [*groups, order_col], "_pos")
+    after = x.select((F.col("_pos") - 1).alias("_pos"), *[F.col(g).alias(f"_group_{g}") for g in groups],
+                     *[F.col(c).alias(f"_after_{c}") for c in carried])
+    same = F.lit(True)
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_group_{g}"))
+    return (x.join(after, "_pos", "left")
+            .select(*df.columns, *[F.when(same, F.col(f"_after_{c}")).alias(f"{prefix}{c}") for c in carried]))

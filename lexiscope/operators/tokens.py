@@ -6,11 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiscope.functions.text import tokens as token_array
-from lexiscope.operators.util import checked_broadcast, spread
-
-# Lists up to this many words are applied as an IN-set predicate (codegen'd
-# hash set inside the scan stage); larger ones become a broadcast anti join.
-_INLINE_STOPWORDS = 10_000
 
 
 def tokenize(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -18,11 +13,8 @@ def tokenize(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per token: ``(id, pos, term)``; empty texts emit no rows.
 
     ``max_tokens`` keeps only the first tokens of each text (the encoder's
-    truncation length); the default keeps the whole text.  Input that
-    arrives in fewer partitions than cores (one large row group) is
-    hash-spread first, since the regex work is CPU-bound.
+    truncation length); the default keeps the whole text.  A projection: no shuffle.
     """
-    df = spread(df.select(id_col, text_col), id_col)
     toks = token_array(text_col, min_len)
     if max_tokens is not None:
         toks = F.slice(toks, 1, int(max_tokens))
@@ -35,18 +27,27 @@ def truncate_tokens(token_rows: DataFrame, max_tokens: int, pos_col: str = "pos"
     return token_rows.filter(F.col(pos_col) < F.lit(int(max_tokens)))
 
 
-def remove_stopwords(token_rows: DataFrame, stopwords, term_col: str = "term",
-                     max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Drop tokens found in ``stopwords`` (a Python collection or a one-column DataFrame), lower-cased."""
-    if isinstance(stopwords, DataFrame):
-        sw = stopwords.select(F.lower(F.col(stopwords.columns[0])).alias(term_col)).distinct()
-        return token_rows.join(checked_broadcast(sw, max_broadcast_rows), term_col, "left_anti")
-    words = sorted({str(w).lower() for w in stopwords})
-    if len(words) <= _INLINE_STOPWORDS:
-        return token_rows.filter(~F.col(term_col).isin(words))
-    spark = token_rows.sparkSession
-    sw = spark.createDataFrame([(w,) for w in words], f"{term_col} string")
-    return token_rows.join(F.broadcast(sw), term_col, "left_anti")
+def remove_stopwords(token_rows: DataFrame, stopwords, term_col: str = "term") -> DataFrame:
+    """Drop tokens found in ``stopwords`` (a Python collection or a one-column DataFrame), lower-cased.
+
+    One anti join whatever the size of the list; Spark broadcasts a list that
+    its statistics show to be small.
+    """
+    if not isinstance(stopwords, DataFrame):
+        listed = "\n".join(sorted({str(w) for w in stopwords}))  # no token holds a line break
+        stopwords = (token_rows.sparkSession.range(1)
+                     .select(F.explode(F.split(F.lit(listed), "\n")).alias(term_col)))
+    words = stopwords.select(F.lower(F.col(stopwords.columns[0])).alias(term_col))
+    return token_rows.join(words, term_col, "left_anti").select(*token_rows.columns)
+
+
+def by_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Texts dealt by id, for counts per id: they move once as texts and no more as counts.
+
+    The exchange also spreads a table that is one large row group, and the
+    counts per ``(id, term)`` need no further one.
+    """
+    return df.select(id_col, text_col).repartition(id_col)
 
 
 def term_counts(token_rows: DataFrame, id_col: str = "doc_id", term_col: str = "term") -> DataFrame:

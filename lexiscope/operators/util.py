@@ -6,23 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-class BroadcastTooLarge(ValueError):
-    """A side meant for broadcast exceeded its size bound."""
-
-
-def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only when it is known to hold at most ``max_rows`` rows.
-
-    The bound is checked at run time with a cheap count of the (already
-    reduced) side; above it the plain DataFrame is returned and Spark picks a
-    shuffle join (AQE may still convert it when the measured size is small).
-    """
-    n = df.count()
-    if n <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def scalar_count(df: DataFrame) -> "F.Column":
     """Row count of ``df`` as a scalar-subquery column (no driver round trip)."""
     return df.select(F.count(F.lit(1)).cast("bigint")).scalar()
@@ -56,16 +39,3 @@ def set_materialize_mode(mode: str) -> None:
     if mode not in ("parquet", "checkpoint"):
         raise ValueError(mode)
     _MATERIALIZE_MODE["mode"] = mode
-
-
-def spread(df: DataFrame, key_col: str, min_partitions: int | None = None) -> DataFrame:
-    """Hash-spread a scan that arrived in too few partitions for CPU-heavy work.
-
-    A single large row group is read by one task; tokenising it there would
-    leave the other cores idle.  At cluster scale the scan already has many
-    partitions and this is a no-op (no shuffle of the raw text).
-    """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target, key_col)
-    return df

@@ -61,15 +61,14 @@ def tfidf(counts: DataFrame, idf: DataFrame, id_col: str = "doc_id", term_col: s
 def l2_normalize(weights: DataFrame, id_col: str = "doc_id", weight_col: str = "weight") -> DataFrame:
     """Divide each row's weights by the row's L2 norm.
 
-    The norms come from a partial+final aggregate per id and are joined back
-    on id; a hot id is handled by the partial aggregate and AQE's skew join,
-    instead of a window that would pin one whole id to one task.
+    One exchange by id: a vector has at most one row per term of the
+    vocabulary, so a window over it is bounded (and spills) however long the
+    text was.
     """
-    norms = (weights.groupBy(id_col)
-             .agg(F.sqrt(F.sum(F.col(weight_col) * F.col(weight_col))).alias("_norm")))
-    return (weights.join(norms, id_col)
-            .withColumn(weight_col, F.col(weight_col) / F.col("_norm"))
-            .drop("_norm"))
+    from pyspark.sql import Window
+
+    w = F.col(weight_col)
+    return weights.withColumn(weight_col, w / F.sqrt(F.sum(w * w).over(Window.partitionBy(id_col))))
 
 
 def fit_transform(counts: DataFrame, n_docs: Column, id_col: str = "doc_id",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,39 +12,58 @@ from lexiscope.operators.pairs import (
     stack_texts, threshold_counts, threshold_curve, threshold_hits, threshold_scores,
 )
 from lexiscope.operators.similarity import cosine_above, cosine_sparse, pair_cosine
-from lexiscope.operators.tokens import term_counts, tokenize
+from lexiscope.operators.tokens import by_text, term_counts, tokenize
 from lexiscope.operators.util import checkpointed
 from lexiscope.operators.weights import doc_count, fit_idf, tfidf
 from lexiscope.plans import tables
 
+#: postings of one term that meet in one place of the self-join
+SPLIT_ROWS = 20_000
+
 
-@dataclass
 class PairSet:
-    pairs: DataFrame
-    stacked: DataFrame
-    texts: DataFrame
-    positions: DataFrame
-    last_wins: DataFrame
-    symmetric: DataFrame
-    vectors: DataFrame
+    """Pairs with their distinct texts, positions, partner maps and TF-IDF vectors, built as they are used.
 
+    Tables that several others read are written once to the shared folder
+    (``materialize``); the rest are lazy plans.
+    """
 
-def pair_set(pairs: DataFrame, materialize: bool = True) -> PairSet:
-    """Pairs -> distinct texts, positions, partner maps and TF-IDF vectors.
+    def __init__(self, pairs: DataFrame, materialize: bool = True):
+        self.pairs = pairs
+        self._kept = checkpointed if materialize else (lambda df: df)
 
-    ``pairs``, the distinct texts and the vectors are each used by several
-    branches; with ``materialize`` they are written once to the shared
-    checkpoint folder instead of being recomputed per branch.
-    """
-    ck = checkpointed if materialize else (lambda df: df)
-    pairs = ck(pairs)
-    stacked = stack_texts(pairs)
-    texts = ck(distinct_texts(stacked))
-    pp = ck(pair_positions(pairs, texts))
-    counts = ck(term_counts(tokenize(texts, "doc_idx", "text"), "doc_idx"))
-    idf = fit_idf(counts, doc_count(texts))
-    vectors = ck(tfidf(counts, idf, "doc_idx"))
-    return PairSet(pairs, stacked, texts, pp, partner_last_wins(pp), partner_symmetric(pp), vectors)
+    @cached_property
+    def stacked(self) -> DataFrame:
+        return stack_texts(self.pairs)
+
+    @cached_property
+    def stored_pairs(self) -> DataFrame:
+        return self._kept(self.pairs)
+
+    @cached_property
+    def texts(self) -> DataFrame:
+        return distinct_texts(stack_texts(self.stored_pairs))
+
+    @cached_property
+    def positions(self) -> DataFrame:
+        return self._kept(pair_positions(self.stored_pairs, self.texts))
+
+    @cached_property
+    def last_wins(self) -> DataFrame:
+        return partner_last_wins(self.positions)
+
+    @cached_property
+    def symmetric(self) -> DataFrame:
+        return partner_symmetric(self.positions)
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        counts = self._kept(term_counts(tokenize(by_text(self.texts, "doc_idx"), "doc_idx"), "doc_idx"))
+        return self._kept(tfidf(counts, fit_idf(counts, doc_count(self.texts)), "doc_idx"))
+
+
+def pair_set(pairs: DataFrame, materialize: bool = True) -> PairSet:
+    return PairSet(pairs, materialize)
 
 
 def driver_pairs(spark: SparkSession, sf_dir: str) -> PairSet:
@@ -64,29 +83,28 @@ def query_scores(ps: PairSet, above: float | None = None) -> DataFrame:
     """
     qv = ps.vectors.join(ps.symmetric.select(F.col("qidx").alias("doc_idx")), "doc_idx", "left_semi")
     if above is None:
-        sc = cosine_sparse(qv, ps.vectors, "doc_idx", "doc_idx")
+        sc = cosine_sparse(qv, ps.vectors, "doc_idx", "doc_idx", split_rows=SPLIT_ROWS)
     else:
         sc = cosine_above(qv, ps.vectors, above, "doc_idx", "doc_idx")
     return sc.toDF("qidx", "doc_idx", "score")
 
 
-def threshold_tables(ps: PairSet, thresholds=THRESHOLDS, prefix_filter: bool = False,
-                     materialize: bool = True):
+def threshold_tables(ps: PairSet, thresholds=THRESHOLDS, prefix_filter: bool = False):
     """Counts, partner hits, per-query scores and the curve for all thresholds.
 
-    Only pairs above the smallest threshold can count, so ``prefix_filter``
-    may restrict the self-join to exact candidates.  It pays off when the
-    smallest threshold is high; at 0.1 on the driver tables it keeps >99% of
-    the terms, so it is off by default.  The score table feeds both the
-    counts and the partner hits and is written once.
+    Only pairs above the smallest threshold can count: the others are dropped
+    as soon as they are summed, and nothing of size texts x texts is written.
+    The hits need the partners alone, so they come from their own pairs.
+    ``prefix_filter`` also restricts the self-join to exact candidates; it pays
+    off when the smallest threshold is high.
     """
-    sc = query_scores(ps, min(thresholds) if prefix_filter else None)
-    if materialize:
-        sc = checkpointed(sc)
+    least = min(thresholds)
+    sc = query_scores(ps, least if prefix_filter else None).filter(F.round("score", 9) > F.lit(float(least)))
     thr = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
     grid = ps.symmetric.select("qidx", thr)
     counts = (grid.join(threshold_counts(sc, thresholds), ["qidx", "threshold"], "left")
               .select("qidx", "threshold", F.coalesce("n_above", F.lit(0)).cast("bigint").alias("n_above")))
-    hits = threshold_hits(sc, ps.symmetric, thresholds)
+    own = pair_cosine(ps.symmetric, ps.vectors, "qidx", "partner", "doc_idx").toDF("qidx", "doc_idx", "score")
+    hits = threshold_hits(own, ps.symmetric, thresholds)
     per = threshold_scores(counts, hits)
     return counts, hits, per, threshold_curve(per)

@@ -7,9 +7,9 @@ expressed as one lazy plan per method.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiscope.operators.judgments import contains_judgments
@@ -17,10 +17,11 @@ from lexiscope.operators.ranking import (
     mean_precision, precision_at, rank_docs, ranked_hits, relevant,
 )
 from lexiscope.operators.similarity import cosine_sparse
-from lexiscope.operators.tokens import remove_stopwords, term_counts, tokenize
+from lexiscope.operators.tokens import by_text, remove_stopwords, term_counts, tokenize
 from lexiscope.operators.util import checkpointed
 from lexiscope.operators.weights import doc_count, fit_idf, tfidf
 from lexiscope.plans import tables
+from lexiscope.sources.store import load_vectors, save_vectors
 
 NS = (1, 3, 5, 10)
 
@@ -32,69 +33,74 @@ SHORT_STOPWORDS = (
 ).split()
 
 
-@dataclass
 class WordIndex:
-    docs: DataFrame
-    queries: DataFrame
-    doc_tokens: DataFrame
-    doc_counts: DataFrame
-    n_docs: Column
-    idf: DataFrame
-    doc_raw: DataFrame
-    doc_vectors: DataFrame
-    query_counts: DataFrame
-    query_vectors: DataFrame
-
-
-def word_index(docs: DataFrame, queries: DataFrame, stopwords=None,
-               vocabulary: str = "learned", doc_col: str = "doc_id",
-               query_col: str = "query_id", query_text_col: str = "query_text",
-               materialize: bool = True) -> WordIndex:
-    """Fit word TF-IDF on ``docs`` and transform ``queries`` with it.
-
-    The term-count table feeds both the idf and the weights (a diamond in
-    the plan), and the document vectors feed scoring, judgments and
-    factorisation; with ``materialize`` both are written once to the shared
-    checkpoint folder (the fitted index), which also cuts the lineage so a
-    lost executor only recomputes from the written tables.
-    """
-    toks = tokenize(docs, doc_col, "text")
-    qtoks = tokenize(queries, query_col, query_text_col)
-    if stopwords is not None:
-        toks = remove_stopwords(toks, stopwords)
-        qtoks = remove_stopwords(qtoks, stopwords)
-    counts = term_counts(toks, doc_col)
-    if materialize:
-        counts = checkpointed(counts)
-    n = doc_count(docs)
-    idf = fit_idf(counts, n)
-    raw = tfidf(counts, idf, doc_col, norm=None)
-    dvec = tfidf(counts, idf, doc_col)
-    if materialize:
-        dvec = checkpointed(dvec)
-    qcounts = term_counts(qtoks, query_col)
-    qvec = tfidf(qcounts, idf, query_col, vocabulary=vocabulary, n_docs=n)
-    return WordIndex(docs, queries, toks, counts, n, idf, raw, dvec, qcounts, qvec)
-
-
-def without_stopwords(ix: WordIndex, stopwords, vocabulary: str = "learned", doc_col: str = "doc_id",
-                      query_col: str = "query_id", materialize: bool = True) -> WordIndex:
-    """The same index refitted without ``stopwords``.
-
-    Removing words from a bag only drops rows of the term-count tables, so
-    the already materialised counts are filtered instead of re-tokenising
-    the corpus; idf and vectors are refitted (``n`` is unchanged).
+    """Word TF-IDF of a collection and its queries, built table by table as they are used.
+
+    The term counts feed the idf, the weights and the judgments: they are
+    written once to the shared folder when first asked for (``materialize``),
+    which also cuts the lineage.  Everything else is a lazy plan over them.
+    With ``store`` the counts are kept under that path and read back by later
+    runs (``vector_path`` names one per corpus).
     """
-    counts = remove_stopwords(ix.doc_counts, stopwords)
-    qcounts = remove_stopwords(ix.query_counts, stopwords)
-    idf = fit_idf(counts, ix.n_docs)
-    raw = tfidf(counts, idf, doc_col, norm=None)
-    dvec = tfidf(counts, idf, doc_col)
-    if materialize:
-        dvec = checkpointed(dvec)
-    qvec = tfidf(qcounts, idf, query_col, vocabulary=vocabulary, n_docs=ix.n_docs)
-    toks = remove_stopwords(ix.doc_tokens, stopwords)
-    return WordIndex(ix.docs, ix.queries, toks, counts, ix.n_docs, idf, raw, dvec, qcounts, qvec)
+
+    def __init__(self, docs: DataFrame, queries: DataFrame, vocabulary: str = "learned", doc_col: str = "doc_id",
+                 query_col: str = "query_id", query_text_col: str = "query_text", stopwords=None,
+                 materialize: bool = True, store: str | None = None, base: "WordIndex | None" = None):
+        self.docs, self.queries, self.vocabulary = docs, queries, vocabulary
+        self.doc_col, self.query_col, self.query_text_col = doc_col, query_col, query_text_col
+        self.stopwords, self.materialize, self.store, self.base = stopwords, materialize, store, base
+        self.n_docs = doc_count(docs)
+
+    def _listed(self, terms: DataFrame) -> DataFrame:
+        return terms if self.stopwords is None else remove_stopwords(terms, self.stopwords)
+
+    def _counts(self) -> DataFrame:
+        return term_counts(self._listed(tokenize(by_text(self.docs, self.doc_col), self.doc_col)), self.doc_col)
+
+    @cached_property
+    def doc_counts(self) -> DataFrame:
+        if self.base is not None:  # words leave a bag by their rows: nothing is tokenised again
+            return self._listed(self.base.doc_counts)
+        if self.store is not None:
+            path, spark = f"{self.store}/counts", self.docs.sparkSession
+            if load_vectors(spark, path) is None:
+                save_vectors(self._counts(), path)
+            return load_vectors(spark, path)
+        return checkpointed(self._counts()) if self.materialize else self._counts()
+
+    @cached_property
+    def query_counts(self) -> DataFrame:
+        if self.base is not None:
+            return self._listed(self.base.query_counts)
+        tokens = tokenize(self.queries, self.query_col, self.query_text_col)
+        return term_counts(self._listed(tokens), self.query_col)
+
+    @cached_property
+    def idf(self) -> DataFrame:
+        return fit_idf(self.doc_counts, self.n_docs)
+
+    @cached_property
+    def doc_raw(self) -> DataFrame:
+        return tfidf(self.doc_counts, self.idf, self.doc_col, norm=None)
+
+    @cached_property
+    def doc_vectors(self) -> DataFrame:
+        return tfidf(self.doc_counts, self.idf, self.doc_col)
+
+    @cached_property
+    def query_vectors(self) -> DataFrame:
+        return tfidf(self.query_counts, self.idf, self.query_col, vocabulary=self.vocabulary, n_docs=self.n_docs)
+
+
+def word_index(docs: DataFrame, queries: DataFrame, **options) -> WordIndex:
+    """Fit word TF-IDF on ``docs`` and transform ``queries`` with it (nothing runs before a table is used)."""
+    return WordIndex(docs, queries, **options)
+
+
+def without_stopwords(ix: WordIndex, stopwords) -> WordIndex:
+    """The same index refitted without ``stopwords`` over the counts of ``ix`` (``n`` is unchanged)."""
+    return WordIndex(ix.docs, ix.queries, ix.vocabulary, ix.doc_col, ix.query_col, ix.query_text_col, stopwords,
+                     ix.materialize, base=ix)
 
 
 def driver_index(spark: SparkSession, sf_dir: str, stopwords=None, vocabulary: str = "learned") -> WordIndex:
@@ -135,19 +141,20 @@ def evaluate(spark: SparkSession, sf_dir: str, stopwords=None) -> tuple[DataFram
 
 def evaluate_collection(docs: DataFrame, queries: DataFrame, qrels: DataFrame, stopwords=None,
                         vocabulary: str = "learned", n: int = 10, ns=NS,
-                        materialize: bool = False):
+                        materialize: bool = False, store: str | None = None):
     """Word TF-IDF evaluation of a collection read from files.
 
     ``docs``: ``(doc_id string, doc_idx bigint, text)``; ``queries``:
     ``(query_id, query_text)``; ``qrels``: ``(topic, iter, docno, relevancy)``.
     Vectors are keyed by ``doc_idx`` (ties rank the higher position first);
-    judgments are matched on the document id string.
+    judgments are matched on the document id string.  ``store`` keeps the fitted
+    counts for later runs over the same collection.
 
     Returns ``(ranked, per_query, mean)``; ``ranked`` carries ``docno``.
     """
     keyed = docs.select(F.col("doc_idx").alias("doc_id"), "text")
     ix = word_index(keyed, queries, stopwords=stopwords, vocabulary=vocabulary,
-                    materialize=materialize)
+                    materialize=materialize, store=store)
     r = rank_docs(scores(ix), n, ix.queries, keyed, "query_id", "doc_id", "score")
     r = r.join(docs.select(F.col("doc_idx").alias("doc_id"), F.col("doc_id").alias("docno")), "doc_id")
     rel = relevant(qrels).select(F.col("topic").alias("query_id"), F.col("docno"), F.lit(1).alias("hit"))

@@ -13,13 +13,13 @@ them):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiscope.operators.groups import next_in_group
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, *cols: str | Column) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return df.select(*cols) if cols else df
 
@@ -34,13 +34,16 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def question_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(pos, question1, question2, is_duplicate)`` from consecutive documents of a source."""
-    d = table(spark, sf_dir, "documents", "doc_id", "source", "text")
-    nxt = next_in_group(d, ["source"], "doc_id", ["text"])
-    return (nxt.filter(F.col("next_doc_id").isNotNull())
-            .select(F.col("doc_id").alias("pos"), F.col("text").alias("question1"),
-                    F.col("next_text").alias("question2"),
-                    (F.col("text") == F.col("next_text")).cast("int").alias("is_duplicate")))
+    """``(pos, question1, question2, is_duplicate)`` from consecutive documents of a source.
+
+    Successors are found on ids alone; the texts join afterwards.
+    """
+    ids = next_in_group(table(spark, sf_dir, "documents", "doc_id", "source"), ["source"], "doc_id")
+    left = table(spark, sf_dir, "documents", "doc_id", F.col("text").alias("question1"))
+    right = table(spark, sf_dir, "documents", F.col("doc_id").alias("next_doc_id"), F.col("text").alias("question2"))
+    return (ids.filter(F.col("next_doc_id").isNotNull()).join(left, "doc_id").join(right, "next_doc_id")
+            .select(F.col("doc_id").alias("pos"), "question1", "question2",
+                    (F.col("question1") == F.col("question2")).cast("int").alias("is_duplicate")))
 
 
 # ---- the same stand-ins in DuckDB SQL (oracle side) -------------------------

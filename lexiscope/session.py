@@ -66,9 +66,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """Path for a written intermediate table next to the checkpoints."""
+    """Path for a written intermediate table next to the checkpoints, in one folder per run."""
+    return f"{_run_folder(spark)}/{name}"
+
+
+def _run_folder(spark: SparkSession) -> str:
     base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tables/{name}"
+    return f"{base}/tables/{spark.sparkContext.applicationId}"
+
+
+def drop_intermediate(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this run; results that still read them must be saved first."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
+    folder.getFileSystem(conf).delete(folder, True)
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -22,11 +22,10 @@ def _strings(*names: str) -> T.StructType:
 
 
 def with_load_order(df: DataFrame, idx_col: str = "doc_idx") -> DataFrame:
-    """Dense 0-based positions in file order (the reader's row order)."""
-    from lexiscope.operators.groups import with_positions
+    """Dense 0-based positions in file order (the reader's row order); the file is parsed once."""
+    from lexiscope.operators.groups import dense_positions
 
-    return with_positions(df.withColumn("_order", F.monotonically_increasing_id()), "_order",
-                          idx_col).drop("_order")
+    return dense_positions(df, idx_col)
 
 
 def read_collection(spark: SparkSession, path: str, id_tag: str = "docno",

@@ -155,12 +155,12 @@ def test_zero_row_cluster(spark):
 def test_next_in_group_and_positions(spark):
     rows = [(i, "s%d" % (i % 3), f"t{i}") for i in range(0, 300, 7)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
-    got = {r["doc_id"]: r["next_text"] for r in next_in_group(df, ["source"], "doc_id", ["text"], n_buckets=5).collect()}
+    got = {r["doc_id"]: r["next_text"] for r in next_in_group(df, ["source"], "doc_id", ["text"]).collect()}
     for s in ("s0", "s1", "s2"):
         ids = sorted(i for i, src, _ in rows if src == s)
         for a, b in zip(ids, ids[1:] + [None]):
             assert got[a] == (None if b is None else f"t{b}")
-    pos = {r["doc_id"]: r["doc_idx"] for r in with_positions(df, "doc_id", n_buckets=4).collect()}
+    pos = {r["doc_id"]: r["doc_idx"] for r in with_positions(df, "doc_id").collect()}
     assert [pos[i] for i, _, _ in rows] == list(range(len(rows)))
 
 
