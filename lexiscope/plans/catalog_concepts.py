@@ -135,44 +135,3 @@ def q_concept_tfidf_query(spark, sf):
     q = term_counts(t.select("vec_id", "concept"), "vec_id", "concept")
     v = tfidf(q, idf, "vec_id", "concept", vocabulary="fixed", n_docs=n)
     return v.select("vec_id", "concept", rounded("weight").alias("weight"))
-
-
-# ---------------------------------------------------------------- M1, M6-M8, R15 (rows-only)
-
-def _hash_encoder():
-    """Stand-in encoder over whole texts (a real model would truncate at its
-    maximum length; the stand-in has no such limit, so nothing is cut)."""
-    from lexiscope.operators.concepts import HashWordEncoder
-
-    return HashWordEncoder(dim=D_IN, max_tokens=None)
-
-
-@register("concept_retrieval")
-def q_concept_retrieval(spark, sf):
-    """Bag-of-concepts retrieval sweep over benchmark x documents (hash encoder stand-in)."""
-    from lexiscope.plans import retrieval as R
-    from lexiscope.plans.concept_eval import concept_sweep
-
-    ix = R.driver_index(spark, sf)
-    judg = R.judgments(ix, spark, sf)
-    return concept_sweep(ix.docs, ix.queries, judg, _hash_encoder, _weights, ks=(16, 4, 1))
-
-
-@register("encode_tokens")
-def q_encode_tokens(spark, sf):
-    """Batch encoding of every whole document: one hidden vector per token."""
-    from lexiscope.operators.concepts import encode_texts
-
-    return encode_texts(tables.documents(spark, sf), "doc_id", "text", _hash_encoder).select(
-        "doc_id", "pos", F.size("hidden").alias("dim"))
-
-
-@register("dense_retrieval")
-def q_dense_retrieval(spark, sf):
-    """Dense-embedding retrieval over benchmark x documents (queries get an instruction prompt)."""
-    from lexiscope.plans import retrieval as R
-    from lexiscope.plans.concept_eval import dense_retrieval
-
-    ix = R.driver_index(spark, sf)
-    return dense_retrieval(ix.docs, ix.queries, R.judgments(ix, spark, sf), _hash_encoder,
-                           query_prompt="query: ")

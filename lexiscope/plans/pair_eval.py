@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from copy import copy
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,7 @@ from lexiscope.operators.tokens import by_text, term_counts, tokenize
 from lexiscope.operators.util import checkpointed
 from lexiscope.operators.weights import doc_count, fit_idf, tfidf
 from lexiscope.plans import tables
+from lexiscope.plans.concept_eval import token_concepts
 
 #: postings of one term that meet in one place of the self-join
 SPLIT_ROWS = 20_000
@@ -75,6 +78,34 @@ def pair_similarity(ps: PairSet) -> DataFrame:
     return pair_cosine(ps.last_wins, ps.vectors, "q1idx", "q2idx", "doc_idx")
 
 
+def concept_pair_sets(ps: PairSet, encoder_factory, weights_factory, ks: Sequence[int],
+                      as_words: bool = False) -> dict[int, PairSet]:
+    """The pairs of ``ps`` with vectors over their texts' concepts, one set per ``k``.
+
+    ``as_words`` takes concept ids for words of a text, of which one-digit
+    ids are too short.
+    """
+    tokens = token_concepts(ps.texts, "doc_idx", "text", encoder_factory, weights_factory, max(ks))
+    tokens = ps._kept(tokens.select("doc_idx", "rank", "concept"))
+    ps.positions  # shared by all sets
+    out = {}
+    for k in ks:
+        term = F.col("concept").cast("string").alias("term")
+        chosen = tokens.filter(F.col("rank") <= k).select("doc_idx", term)
+        if as_words:
+            chosen = chosen.filter(F.length("term") >= 2)
+        counts = ps._kept(term_counts(chosen, "doc_idx"))
+        out[k] = copy(ps)
+        out[k].vectors = ps._kept(tfidf(counts, fit_idf(counts, doc_count(ps.texts)), "doc_idx"))
+    return out
+
+
+def with_pair_texts(scored: DataFrame, ps: PairSet) -> DataFrame:
+    """Adds the texts ``q1`` and ``q2`` of the pairs of a (small) list."""
+    return (scored.join(ps.texts.select(F.col("doc_idx").alias("q1idx"), F.col("text").alias("q1")), "q1idx")
+            .join(ps.texts.select(F.col("doc_idx").alias("q2idx"), F.col("text").alias("q2")), "q2idx"))
+
+
 def query_scores(ps: PairSet, above: float | None = None) -> DataFrame:
     """Similarity of every query (key of the symmetric map) to every text.
 

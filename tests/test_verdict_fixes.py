@@ -41,3 +41,93 @@ def test_stop_words_of_a_table_are_lower_cased(spark):
     listed = spark.createDataFrame([("The",)], "w string")
     assert [r.term for r in remove_stopwords(tokens, listed).collect()] == ["cat"]
     assert remove_stopwords(tokens, ["The"]).select(F.max("term")).first()[0] == "cat"
+
+
+def test_encoders_keep_string_ids_and_rank_by_them(spark):
+    from functools import partial
+
+    from lexiscope.operators.concepts import RuleWordEncoder, embed_texts, encode_texts
+    from lexiscope.operators.similarity import cosine_dense_topn
+
+    make = partial(RuleWordEncoder, 8)
+    docs = spark.createDataFrame([("MED-1", "a b"), ("9", "a b"), ("80", None)], "doc_id string, text string")
+    assert {(r.doc_id, r.pos) for r in encode_texts(docs, "doc_id", "text", make).collect()} == {
+        ("MED-1", 0), ("MED-1", 1), ("9", 0), ("9", 1)}
+    emb = embed_texts(docs, "doc_id", "text", make)
+    top = cosine_dense_topn(emb.withColumnRenamed("doc_id", "query_id"), emb, 3).filter("query_id = '9'")
+    assert [r.doc_id for r in top.orderBy("rank").collect()] == ["MED-1", "9", "80"]
+
+
+def test_concepts_in_blocks_of_columns(spark):
+    from functools import partial
+
+    import numpy as np
+
+    from lexiscope.operators.concepts import formula_sae, sae_topk
+
+    make = partial(formula_sae, 4, 65_536)
+    x = spark.createDataFrame([(i, [float(i), 1.0, -2.0, 0.5 * i]) for i in range(5)], "id long, v array<double>")
+    got = {(r.id, r["rank"]): (r.concept, round(r.act, 9)) for r in sae_topk(x, "v", make, 5, ["id"]).collect()}
+    w, b = make()
+    for i in range(5):
+        acts = np.maximum(np.array([float(i), 1.0, -2.0, 0.5 * i]) @ w + b, 0.0)
+        best = np.argsort(-np.round(acts, 6), kind="stable")[:5]
+        assert [got[(i, r + 1)] for r in range(5)] == [(int(c), round(acts[c], 9)) for c in best]
+
+
+def test_bare_passages_need_no_cross_join(spark):
+    from lexiscope.operators.judgments import contains_judgments
+    from lexiscope.operators.tokens import term_counts, tokenize
+    from lexiscope.operators.weights import doc_count, fit_idf
+
+    texts = ["alpha beta", "xalpha bety", "gamma", None, "alp"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    wanted = ["alp", "alpha bet", "", "gamma", "gamma", "zeta", None]
+    passages = spark.createDataFrame(list(enumerate(wanted)), "item_id long, text string")
+    counts = term_counts(tokenize(docs))
+    found = contains_judgments(docs, passages, counts, fit_idf(counts, doc_count(docs)), block_bytes=8)
+    assert sorted((r.topic, r.docno) for r in found.collect()) == sorted(
+        (p, d) for p, x in enumerate(wanted) for d, t in enumerate(texts) if x is not None and t is not None and x in t)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_an_outlying_key_does_not_fill_one_range(spark):
+    from lexiscope.operators.groups import with_positions
+
+    df = spark.range(20_000).union(spark.createDataFrame([(10**15,)], "id long"))
+    dealt = df.repartitionByRange("id").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert dealt < 15_000
+    pos = with_positions(df, "id", "pos")
+    assert pos.filter("pos <> least(id, 20000)").count() == 0 and pos.count() == 20_001
+
+
+def test_stored_counts_are_read_back(spark, tmpdir_path):
+    from lexiscope.plans.retrieval import word_index
+    from lexiscope.sources.store import vector_path
+
+    docs = spark.createDataFrame([(0, "red car"), (1, "blue car")], "doc_id long, text string")
+    queries = spark.createDataFrame([(7, "red")], "query_id long, query_text string")
+    path = vector_path(tmpdir_path, "words", "two-docs")
+    first = word_index(docs, queries, store=path).doc_vectors.orderBy("doc_id", "term").collect()
+    written = os.stat(f"{path}/counts/_SUCCESS").st_mtime_ns
+    assert word_index(docs, queries, store=path).doc_vectors.orderBy("doc_id", "term").collect() == first
+    assert os.stat(f"{path}/counts/_SUCCESS").st_mtime_ns == written
+
+
+def test_reports_have_the_shape_of_a_map(spark, tmpdir_path):
+    import json
+
+    from lexiscope.operators.report import write_comparison, write_extremes
+
+    cmp = spark.createDataFrame([("p1", 0.5, None), ("p3", 0.25, 1.0)], "metric string, words double, dense double")
+    write_comparison(cmp, tmpdir_path + "/cmp")
+    assert json.loads(spark.read.text(tmpdir_path + "/cmp").first()[0]) == {
+        "p1": {"words": 0.5}, "p3": {"words": 0.25, "dense": 1.0}}
+    ext = spark.createDataFrame([("k1", "highest", 2, "c", "d", 0.9), ("k1", "highest", 1, "a", "b", 0.8),
+                                 ("k1", "lowest", 1, "e", "f", 0.0)],
+                                "method string, kind string, rank long, q1 string, q2 string, similarity double")
+    write_extremes(ext, tmpdir_path + "/ext")
+    assert json.loads(spark.read.text(tmpdir_path + "/ext").first()[0]) == {"k1": {
+        "highest": [{"q1": "a", "q2": "b", "similarity": 0.8}, {"q1": "c", "q2": "d", "similarity": 0.9}],
+        "lowest": [{"q1": "e", "q2": "f", "similarity": 0.0}]}}
