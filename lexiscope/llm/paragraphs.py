@@ -202,7 +202,10 @@ def jaccard_links(classes: DataFrame, min_jaccard: float = MIN_JACCARD, piece: i
     """``(a, b)``: forest edges over ``classes(node, shingles, bands)`` that share a band and reach the threshold."""
     # most bands are alone once copies are one class: shingles follow only where two classes meet
     member = classes.select("node", F.explode("bands").alias("band"))
-    sizes = member.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    sizes = (member.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"),
+                                        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).filter("n > 1"))
+    # near copies share most of their bands: bands with the same members (by a digest of 128 bits) are compared once
+    sizes = sizes.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band", "n")
     met = stored(member.join(sizes, "band"))
     pieces = stored(met.join(classes.select("node", "shingles"), "node")
                     .groupBy("band", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / piece)).alias("piece"))
