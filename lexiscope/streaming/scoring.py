@@ -4,8 +4,8 @@ The index (idf table and L2 document vectors) is fitted once in batch and
 written to shared storage; each micro-batch of new queries is tokenised,
 weighted with the fitted idf (learned vocabulary), scored by the sparse
 inverted-index join and ranked - the same operators as the batch plan.
-``foreachBatch`` + a checkpoint location make the sink exactly-once across
-restarts.
+``foreachBatch`` and a checkpoint location resume a stopped query where it was;
+the sink appends, so a batch that is retried may repeat its rows.
 """
 
 from __future__ import annotations
