@@ -1,7 +1,13 @@
 """Licence scan: normalised text against licence templates by Dice over word bigrams.
 
-Compared are a text's lines, its blocks (lines up to a blank one) and the whole
-text, so one-line notices, headers and full licence texts are found.  A unit
+Templates are one-line notices, file headers, complete licence texts
+(``license_texts/``) and the paragraphs of these.  Compared are a text's lines,
+its blocks (lines up to a blank one), the whole text, and windows as long as a
+template where enough of the template's rarest bigrams lie, so a licence within
+a longer text is found too.  Of overlapping windows the one that shares most
+bigrams stays; a unit that overlaps a window of another licence that shares
+more bigrams is no match.  AGPL-3.0 and the CC-BY licences other than
+CC-BY-SA-4.0 have notices (AGPL-3.0 its header) but no complete text.  A unit
 with b distinct bigrams can reach the Dice coefficient d only with templates of
 between d/(2-d) * b and (2-d)/d * b bigrams; all others are pruned by size, and
 units without a bigram of any remaining template are never compared.
@@ -14,19 +20,25 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect, bisect_left
 from collections import Counter
-from itertools import pairwise
+from functools import lru_cache
+from itertools import pairwise, repeat
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscope.llm.common import small_batches, table, text_slices
+from lexiscope.llm.common import ragged_arange, small_batches, table, text_slices
 
 MIN_DICE = 0.8
 #: A-Z lower-cased; letters, digits and non-ASCII bytes stay; all else parts words
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32
              for c in range(256))
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 #: fixed values: names and versions that one-line notices are made with
 NAMES = {
@@ -84,32 +96,44 @@ details. You should have received a copy of the GNU General Public License along
 https://www.gnu.org/licenses/.""",
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the
 MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
-    "BSD-2-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted
-provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice,
-this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright
-notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the
-distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
-WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
-ARE DISCLAIMED.""",
-    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy,
-modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for
-any purpose, commercial or non-commercial, and by any means.""",
 }
+#: fixed values: the notice at the head of a file under a GNU licence
+GNU_HEADER = """This {what} is free software{stop} you can redistribute it and/or modify it under the terms of the GNU {name} as
+published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version.
+This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty
+of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details. You should have received a
+copy of the GNU {name} along with this {what}; if not, see https://www.gnu.org/licenses/."""
+GNU = [("GPL-2.0", "program", "General Public License", "2"), ("LGPL-2.1", "library", "Lesser General Public License", "2.1"),
+       ("LGPL-3.0", "program", "Lesser General Public License", "3"),
+       ("AGPL-3.0", "program", "Affero General Public License", "3")]
+#: the complete texts, one file of this name per licence; the driver reads them, executors get them with the function
+FULL_TEXTS = Path(__file__).parent / "license_texts"
+#: a paragraph of a complete text is a template of its own from so many words on
+PARAGRAPH_WORDS = 20
 
 
 def templates() -> list[tuple[str, str]]:
     """(licence, text) of every template."""
     made = [(name, notice.format(title)) for name, titles in NAMES.items() for title in titles for notice in NOTICES]
+    made += [(name, GNU_HEADER.format(what=what, stop=";", name=title, version=version))
+             for name, what, title, version in GNU]
+    for path in sorted(FULL_TEXTS.glob("*.txt")):
+        full = path.read_text()
+        made.append((path.stem, full))
+        made += [(path.stem, part) for part in re.split(r"\n\s*\n", full)
+                 if len(part.encode().translate(FOLD).split()) >= PARAGRAPH_WORDS]
     return sorted({*made, *TEXTS.items()})
 
 
 class Matcher:
-    """Best template of a unit by Dice over distinct word bigrams."""
+    """Best template of a unit, and templates' places in a text, by Dice over distinct word bigrams."""
 
     def __init__(self, given: list[tuple[str, str]], min_dice: float = MIN_DICE):
         self.min_dice = min_dice
-        grams = [set(pairwise(text.encode().translate(FOLD).split())) for _, text in given]
+        words = [text.encode().translate(FOLD).split() for _, text in given]
+        self.grams = grams = [set(pairwise(w)) for w in words]
         self.names = [name for name, _ in given]
+        self.lengths = [len(w) for w in words]
         self.sizes = [len(g) for g in grams]
         self.where: dict[tuple[bytes, bytes], list[int]] = {}
         for k, g in enumerate(grams):
@@ -119,45 +143,150 @@ class Matcher:
         self.least = min(self.sizes, default=0) / ratio
         self.most = max(self.sizes, default=0) * ratio
         self.ratio = ratio
+        self._index(words)
+
+    def _index(self, words: list[list[bytes]]) -> None:
+        """Bigrams as sorted codes, and the places of each template's rarest bigrams (its seeds)."""
+        self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for ws in words for w in ws}))}
+        self.base = len(self.vocabulary) + 1
+        code = {g: self.vocabulary[g[0]] * self.base + self.vocabulary[g[1]] for g in self.where}
+        self.codes = np.array(sorted(code.values()), np.int64)
+        rows, self.needed = [], np.zeros(len(words), np.int64)
+        for k, ws in enumerate(words):
+            m = self.sizes[k]
+            # a window as long as the template shares at least so many bigrams if it reaches the coefficient
+            shared = int(np.ceil(m / self.ratio - 1e-9))
+            places: dict[tuple[bytes, bytes], list[int]] = {}
+            for o, g in enumerate(pairwise(ws)):
+                places.setdefault(g, []).append(o)
+            rare = sorted(places, key=lambda g: (len(self.where[g]), len(places[g]), g))
+            seeds = rare[:max(m - shared + 1, 2 * m // 3)]
+            self.needed[k] = len(seeds) - (m - shared)
+            rows += [(code[g], k, o) for g in seeds for o in places[g]]
+        rows = np.array(sorted(rows), np.int64).reshape(-1, 3)
+        gram = np.searchsorted(self.codes, rows[:, 0])
+        self.seed_first = np.searchsorted(gram, np.arange(len(self.codes) + 1))
+        self.seed_template, self.seed_offset = rows[:, 1], rows[:, 2]
 
     def best(self, words: list[bytes]) -> tuple[float, str] | None:
+        found = self._best(words)
+        return found and found[1:]
+
+    def _best(self, words: list[bytes]) -> tuple[int, float, str] | None:
+        """(shared bigrams, coefficient, licence) of the best template."""
         if len(words) - 1 < self.least:
             return None
         grams = set(pairwise(words))
         n = len(grams)
         if not self.least <= n <= self.most:
             return None
-        shared = Counter(k for g in grams & self.where.keys() for k in self.where[g]
+        known = grams & self.where.keys()
+        if len(known) < n / self.ratio - 1e-9:
+            return None
+        shared = Counter(k for g in known for k in self.where[g]
                          if n / self.ratio <= self.sizes[k] <= n * self.ratio)
-        scores = [(2 * c / (n + self.sizes[k]), self.names[k]) for k, c in shared.items()]
-        scores = [s for s in scores if s[0] >= self.min_dice]
-        return min(scores, key=lambda s: (-s[0], s[1])) if scores else None
+        scores = [(c, 2 * c / (n + self.sizes[k]), self.names[k]) for k, c in shared.items()]
+        scores = [s for s in scores if s[1] >= self.min_dice]
+        return min(scores, key=lambda s: (-s[1], s[2])) if scores else None
 
     def scan(self, text: bytes) -> list[dict]:
-        """Matches of the lines, blocks and whole of a text, by place."""
-        found: dict[tuple[int, int], tuple[float, str]] = {}
-        whole: list[bytes] = []
-        block: list[bytes] = []
-        at = block_start = lines = 0
+        """Matches of the lines, blocks and whole of a text and of windows in it, by place."""
+        words: list[bytes] = []
+        units: list[tuple[int, int, int, int]] = []  # bytes and words
+        at = block_start = block_word = lines = 0
         for line in text.split(b"\n"):
-            words = line.translate(FOLD).split()
+            own = line.translate(FOLD).split()
             if not line.strip():
-                self._note(found, block_start, at, block, lines > 1)
-                block, block_start, lines = [], at + len(line) + 1, 0
+                if lines > 1:
+                    units.append((block_start, at, block_word, len(words)))
+                block_start, block_word, lines = at + len(line) + 1, len(words), 0
             else:
-                self._note(found, at, at + len(line), words, True)
-                block, lines = block + words if lines else list(words), lines + 1
-                whole += words
+                units.append((at, at + len(line), len(words), len(words) + len(own)))
+                words += own
+                lines += 1
             at += len(line) + 1
-        self._note(found, block_start, len(text), block, lines > 1)
-        self._note(found, 0, len(text), whole, (0, len(text)) not in found)
+        if lines > 1:
+            units.append((block_start, len(text), block_word, len(words)))
+        units.append((0, len(text), 0, len(words)))
+        if len(words) - 1 < self.least or not self.names:
+            return []
+        ids = np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
+        codes = np.where((ids[:-1] > 0) & (ids[1:] > 0), ids[:-1] * self.base + ids[1:], 0)
+        gram = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        known = self.codes[gram] == codes
+        before = np.concatenate([[0], np.cumsum(known)])  # known bigrams that begin before a word
+        found: dict[tuple[int, int], tuple[int, float, str]] = {}
+        for start, stop, a, z in units:
+            if z - a > 1 and before[z - 1] - before[a] >= self.least - 1e-9 and (start, stop) not in found:
+                if best := self._best(words[a:z]):
+                    found[start, stop] = best
+        windows = self._windows(words, np.flatnonzero(known), gram[known], before)
+        if windows:
+            places = [m.span() for m in _WORD.finditer(text)]
+            windows = sorted((places[a][0], places[z - 1][1], *w) for a, z, *w in windows)
+            firsts, ends = [w[0] for w in windows], [w[1] for w in windows]  # disjoint
+            told = set()
+            for (start, stop), (n, _, name) in list(found.items()):
+                over = range(bisect(ends, start), bisect_left(firsts, stop))
+                # what a longer match explains is not evidence of another licence
+                if any(windows[i][2] > n and windows[i][4] != name for i in over):
+                    del found[start, stop]
+                else:
+                    told.update(i for i in over if n >= windows[i][2])
+            for i, (start, stop, *best) in enumerate(windows):
+                if i not in told:
+                    found[start, stop] = tuple(best)
         return [{"start": a, "stop": z, "license": name, "dice": dice}
-                for (a, z), (dice, name) in sorted(found.items())]
+                for (a, z), (_, dice, name) in sorted(found.items())]
+
+    def _windows(self, words: list[bytes], at: np.ndarray, gram: np.ndarray, before: np.ndarray) -> list[tuple]:
+        """``(first word, end, shared, dice, licence)``: windows of a template's length, none over another.
+
+        A window is tried where a template's seeds lie as in the template; of
+        windows that overlap the one that shares most bigrams stays.
+        """
+        count = self.seed_first[gram + 1] - self.seed_first[gram]
+        row = np.repeat(self.seed_first[gram], count) + ragged_arange(count)
+        place, template = np.repeat(at, count), self.seed_template[row]
+        start = place - self.seed_offset[row]
+        enough = np.bincount(template, minlength=len(self.names)) >= self.needed
+        keep = np.flatnonzero(enough[template])
+        keep = keep[np.argsort(template[keep], kind="stable")]  # places stay in order
+        cut = np.flatnonzero(np.diff(template[keep], prepend=-1, append=-1))
+        tried = []
+        for rows in map(lambda a, z: keep[a:z], cut[:-1], cut[1:]):
+            k = int(template[rows[0]])
+            p, m = place[rows], self.lengths[k]
+            last = np.searchsorted(p, p + m)
+            dense = np.flatnonzero(last - np.arange(len(p)) >= self.needed[k])
+            if not len(dense):
+                continue
+            inside = np.zeros(len(p) + 1, np.int64)
+            np.add.at(inside, dense, 1)
+            np.add.at(inside, last[dense], -1)
+            starts = np.unique(np.clip(start[rows[np.cumsum(inside[:-1]) > 0]], 0, None))
+            ends = np.minimum(starts + m, len(words))
+            possible = before[np.maximum(ends - 1, starts)] - before[starts] >= self.sizes[k] / self.ratio - 1e-9
+            for a, z in zip(starts[possible].tolist(), ends[possible].tolist()):
+                own = set(pairwise(words[a:z]))
+                n = len(own & self.grams[k])
+                dice = 2 * n / (len(own) + self.sizes[k])
+                if dice >= self.min_dice:
+                    tried.append((n, dice, self.names[k], a, z))
+        taken: list[tuple[int, int]] = []  # disjoint, in order
+        out = []
+        for n, dice, name, a, z in sorted(tried, key=lambda t: (-t[0], -t[1], t[2], t[3])):
+            i = bisect(taken, (a, z))
+            if (i and taken[i - 1][1] > a) or (i < len(taken) and taken[i][0] < z):
+                continue
+            taken.insert(i, (a, z))
+            out.append((a, z, n, dice, name))
+        return out
+
 
-    def _note(self, found, start, stop, words, wanted) -> None:
-        best = self.best(words) if wanted and words else None
-        if best:
-            found[start, stop] = best
+@lru_cache(maxsize=4)
+def _matcher(given: tuple[tuple[str, str], ...], min_dice: float) -> Matcher:
+    return Matcher(list(given), min_dice)
 
 
 MATCHES = "array<struct<start:long,stop:long,license:string,dice:double>>"
@@ -167,10 +296,10 @@ _MATCHES = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("li
 
 def license_matches(text: Column, given: list[tuple[str, str]] | None = None, min_dice: float = MIN_DICE) -> Column:
     """Array of the matched units of a text: UTF-8 byte range, licence and coefficient."""
-    chosen = templates() if given is None else sorted(given)
+    chosen = tuple(templates() if given is None else sorted(given))
 
     def run(texts: pa.Array) -> pa.Array:
-        matcher, out = Matcher(chosen, min_dice), []
+        matcher, out = _matcher(chosen, min_dice), []
         for part in text_slices(texts):
             out += [matcher.scan(t) for t in part]
         return pa.array(out, _MATCHES)

@@ -354,3 +354,19 @@ def test_licenses(spark):
         best = matcher.best(words)
         assert (best[0] if best else 0) == (max(every) if max(every) >= 0.8 else 0)
     assert licenses.license_scan(df.limit(0)).count() == 0
+
+
+def test_complete_licences_alone_and_inside_longer_texts(spark):
+    full = {p.stem: p.read_text() for p in licenses.FULL_TEXTS.glob("*.txt")}
+    assert len(full) == 13
+    rows = [(name, text) for name, text in full.items()]
+    rows += [(name, "# Readme\n\n" + sentence(900) + "\n\n## License\n\n" + text + "\n\n" + sentence(900))
+             for name, text in full.items()]
+    commented = "\n".join(" * " + x for x in full["MIT"].split("\n"))
+    rows += [("MIT", "/*\n" + commented + "\n */\n" + "int x = 1;\n" * 3 + sentence(700)),
+             ("MIT", sentence(60) + " It is released under the MIT License. " + sentence(60)),
+             ("AGPL-3.0", sentence(90) + "\n" + licenses.GNU_HEADER.format(
+                 what="program", stop=":", name="Affero General Public License", version="3") + "\n" + sentence(90))]
+    got = licenses.license_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [(r.doc_id, r.license) for r in got] == [(name, name) for name, _ in rows]
+    assert all(r.licenses == [r.doc_id] for r in got if r.doc_id in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"))
