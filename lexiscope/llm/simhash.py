@@ -203,12 +203,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def rooted_prints(prints: DataFrame, least: Column, radius: int = MAX_DISTANCE) -> DataFrame:
+    """``(fp, root, least)`` of every distinct fingerprint in ``prints``; ``least`` is an aggregate of its rows."""
+    fps = stored(prints.groupBy("fp").agg(least.alias("least")))  # copies meet here, pre-aggregated
+    roots = components(tile_links(fps.select("fp"), radius))
+    return (fps.join(roots, fps.fp == roots.node, "left")
+            .select("fp", F.coalesce("root", "fp").alias("root"), "least"))
+
+
 def simhash_classes(prints: DataFrame, radius: int = MAX_DISTANCE) -> DataFrame:
     """``(fp, component_id)`` of every distinct fingerprint in ``prints(doc_id, fp)``."""
-    fps = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))  # copies meet here, pre-aggregated
-    roots = components(tile_links(fps.select("fp"), radius))
-    linked = fps.join(roots, fps.fp == roots.node, "left")
-    grouped = linked.withColumn("root", F.coalesce("root", "fp"))
+    grouped = rooted_prints(prints, F.min("doc_id"), radius)
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     return grouped.select("fp", "root").join(least, "root").select("fp", "component_id")
 
@@ -229,10 +234,12 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @small_batches
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: that with the smallest id."""
-    fp, i = free_name(docs, "simhash_fp"), free_name(docs, "simhash_id")
-    marked = stored(docs.select(F.col("doc_id").alias(i), simhash64(F.col("text")).alias(fp)))
-    classes = simhash_classes(marked.toDF("doc_id", "fp"))
-    keep = classes.join(marked.toDF("doc_id", "fp"), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = keep.select(F.col("doc_id").alias(i)).distinct()
-    return (docs.join(keep, docs["doc_id"].eqNullSafe(keep[i]), "left_semi"))
+    """One row of each component stays: that with the smallest id, nulls last, and the first of equal ids."""
+    fp, row = free_name(docs, "simhash_fp"), free_name(docs, "simhash_row")
+    # stored, so that a row's number holds wherever it is read again
+    rows = stored(docs.withColumn(fp, simhash64(F.col("text"))).withColumn(row, F.monotonically_increasing_id()))
+    prints = rows.select(F.col("doc_id").alias("id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+    keep = rooted_prints(prints, least).groupBy("root").agg(F.min("least").alias("least"))
+    keep = keep.select(F.col("least.row").alias(row))
+    return rows.join(keep, row, "left_semi").select(*docs.columns)

@@ -58,3 +58,14 @@ def test_stages_take_nulls_clashing_columns_and_empty_tables(spark):
             assert out.count() >= 0
             if name != "best_fit_packing":
                 assert out.columns == docs.columns
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = ("alpha beta gamma delta " * 20, "one two three four five " * 20, "red green blue white black " * 20)
+    rows = [(3, a, "x"), (3, a, "x"), (1, a, "y"), (1, b, "x"), (1, b, "x"), (None, c, "x"), (None, c, "y"), (None, b, "x"),
+            (None, a, "z"), (7, None, "x"), (None, "", "y"), (7, "", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, simhash_row string").repartition(3)
+    got = [tuple(r) for r in simhash.simhash_stage(spark, docs, SF).collect()]
+    assert len(got) == 4 and set(got) <= set(rows)
+    assert sorted((r[0] is None, r[0] or 0, r[1] or "") for r in got) == [
+        (False, 1, a), (False, 1, b), (False, 7, ""), (True, 0, c)]
