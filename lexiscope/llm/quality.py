@@ -1,10 +1,16 @@
 """Quality rules by distribution divergence.
 
 Every language gets a reference from all its documents: a histogram of
-character classes and one of its most common words.  A document is compared
-with the reference of its declared language by the Jensen-Shannon distance
-(base 2, so 0..1) of both histograms; short documents are guarded, because
-their histograms are noise.
+character classes, one of its most common words and one of ASCII marks (each
+symbol and separator its own bin, all other characters one more).  A document
+is compared with the reference of its declared language by the Jensen-Shannon
+distance (base 2, so 0..1) of each histogram; short documents are guarded,
+because their histograms are noise.
+
+A distance is too far beyond Q3 + ``FENCES`` x (Q3 - Q1) of the distances of
+all documents of the language (rounded to 4 decimals, so the counts behind the
+quartiles are bounded), and beyond the fixed limits in any case.  Languages
+with fewer than ``FENCE_DOCUMENTS`` distances have the fixed limits only.
 
 Defined results: a null text is an empty text; null languages form a group of
 their own; an empty table gives no rows; repeated rows are judged one by one;
@@ -28,6 +34,12 @@ SYMBOLS = b"#*$%&|<>"
 REPEAT_WINDOW = 8
 #: character classes: lower, upper, digit, blank, sentence marks, symbols, other ASCII, non-ASCII
 N_CLASSES = 8
+#: the marks that have a bin each
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+#: interquartile ranges above the third quartile that a distance may lie; word histograms of clean texts spread widely
+#: with their length, the other two hardly
+FENCES = {"char_distance": 20.0, "word_distance": 3.0, "mark_distance": 20.0}
+FENCE_DOCUMENTS, LEAST_SPREAD = 200, 0.001
 
 
 def _classes() -> np.ndarray:
@@ -43,7 +55,15 @@ def _classes() -> np.ndarray:
     return t
 
 
+def _marks() -> np.ndarray:
+    t = np.full(256, len(MARKS), np.uint8)
+    t[[*MARKS]] = np.arange(len(MARKS))
+    t[0x80:0xC0] = len(MARKS) + 1
+    return t
+
+
 CLASS = _classes()
+MARK = _marks()
 #: letters, digits and non-ASCII bytes stay (lower-cased); all else parts words
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32
              for c in range(256))
@@ -53,6 +73,10 @@ def class_counts(data: bytes) -> np.ndarray:
     return np.bincount(CLASS[np.frombuffer(data, np.uint8)], minlength=N_CLASSES + 1)[:N_CLASSES]
 
 
+def mark_counts(data: bytes) -> np.ndarray:
+    return np.bincount(MARK[np.frombuffer(data, np.uint8)], minlength=len(MARKS) + 2)[:len(MARKS) + 1]
+
+
 def js_distance(p: np.ndarray, q: np.ndarray) -> float:
     """Jensen-Shannon distance (square root of the base-2 divergence) of two count vectors."""
     p, q = p / max(p.sum(), 1), q / max(q.sum(), 1)
@@ -115,7 +139,7 @@ def base_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
                         n_common: int = 64) -> DataFrame:
-    """``(lang, reference)``: per language the counts of character classes and common words, as JSON.
+    """``(lang, reference)``: per language the counts of character classes, then marks, and common words, as JSON.
 
     Counted over all documents: partial counts per task, then a grouped sum.
     The common words are the ``n_common`` most frequent (ties by word).
@@ -143,7 +167,7 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
                 before = len(c)
                 c.update(t.translate(FOLD).split())
                 held += len(c) - before
-                classes[lang] = classes.get(lang, 0) + class_counts(t)
+                classes[lang] = classes.get(lang, 0) + np.concatenate([class_counts(t), mark_counts(t)])
                 if held > 150_000:  # partial sums: the task's memory stays bounded
                     yield from flush()
                     held = 0
@@ -170,23 +194,22 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
     return references.select("lang", F.to_json(F.struct("classes", "common", "words")).alias("reference"))
 
 
-def _parsed(reference: str) -> tuple[np.ndarray, dict[bytes, int], np.ndarray]:
+def _parsed(reference: str) -> tuple[np.ndarray, np.ndarray, dict[bytes, int], np.ndarray]:
     r = json.loads(reference)
     classes = np.array([c["n"] for c in r["classes"]], float)
     common = r.get("common") or []
     counts = [c["n"] for c in common]
     rest = (r.get("words") or 0) - sum(counts)
-    return classes, {bytes.fromhex(c["word"]): i for i, c in enumerate(common)}, np.array([*counts, rest], float)
+    return classes[:N_CLASSES], classes[N_CLASSES:], {bytes.fromhex(c["word"]): i for i, c in enumerate(common)}, np.array([*counts, rest], float)
 
 
-VERDICT = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-           "base_failed boolean, char_distance double, word_distance double, kept boolean")
+MEASURES = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+            "base_failed boolean, char_distance double, word_distance double, mark_distance double")
 
 
-def quality_verdict(text: Column, reference: Column, max_char_distance: float = 0.30,
-                    max_word_distance: float = 0.50, min_chars: int = 200, min_words: int = 50,
-                    base_min_words: int = 20, max_repeat_percent: int = 30) -> Column:
-    """Struct of the counts, distances and the verdict for a text and its language's reference.
+def quality_measures(text: Column, reference: Column, min_chars: int = 200, min_words: int = 50,
+                     base_min_words: int = 20, max_repeat_percent: int = 30) -> Column:
+    """Struct of the counts and distances for a text and its language's reference.
 
     A distance is null (and passes) where the text is under its minimum length.
     """
@@ -201,46 +224,66 @@ def quality_verdict(text: Column, reference: Column, max_char_distance: float =
                 row = {k: int(v[i]) for k, v in counts.items()}
                 row["base_failed"] = (row["n_words"] < base_min_words
                                       or 100 * row["n_repeat_words"] > max_repeat_percent * row["n_words"])
-                classes, index, common = known[which[len(out)]]
+                classes, marks, index, common = known[which[len(out)]]
                 seen = class_counts(text)
                 words = text.translate(FOLD).split()
                 row["char_distance"] = js_distance(seen, classes) if seen.sum() >= min_chars else None
+                row["mark_distance"] = js_distance(mark_counts(text), marks) if seen.sum() >= min_chars else None
                 row["word_distance"] = None
                 if len(words) >= min_words and index:
                     c = Counter(words)
                     have = np.array([c[w] for w in index], float)
                     row["word_distance"] = js_distance(np.append(have, len(words) - have.sum()), common)
-                row["kept"] = not (row["base_failed"]
-                                   or (row["char_distance"] or 0) > max_char_distance
-                                   or (row["word_distance"] or 0) > max_word_distance)
                 out.append(row)
-        done = pa.array(out, ARROW_VERDICT)
+        done = pa.array(out, ARROW_MEASURES)
         release_memory()
         return done
 
     judge.__annotations__ = {"texts": pa.Array, "references": pa.Array, "return": pa.Array}
-    return F.arrow_udf(judge, VERDICT_DDL).asNondeterministic()(text, reference)
-
-
-ARROW_VERDICT = pa.struct([pa.field(n, {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[t])
-                           for n, t in (f.split(" ") for f in VERDICT.split(", "))])
-VERDICT_DDL = "struct<" + ", ".join(f.replace(" ", ":") for f in VERDICT.split(", ")) + ">"
-
-
-def with_verdict(docs: DataFrame, name: str, text_col: str = "text", lang_col: str = "lang", **limits) -> DataFrame:
-    """``docs`` with a struct column ``name`` of counts, distances and verdict."""
-    # a small written table: its size is known, so the texts need not move to meet it
-    refs = stored(language_references(docs, text_col, lang_col).toDF(f"{name}_lang", f"{name}_ref"))
-    joined = docs.join(refs, F.col(lang_col).cast("string").eqNullSafe(F.col(f"{name}_lang")), "left")
-    return joined.select(*[docs[c] for c in docs.columns],
-                         quality_verdict(F.col(text_col).cast("string"), F.col(f"{name}_ref"), **limits).alias(name))
+    return F.arrow_udf(judge, MEASURES_DDL).asNondeterministic()(text, reference)
+
+
+ARROW_MEASURES = pa.struct([pa.field(n, {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[t])
+                            for n, t in (f.split(" ") for f in MEASURES.split(", "))])
+MEASURES_DDL = "struct<" + ", ".join(f.replace(" ", ":") for f in MEASURES.split(", ")) + ">"
+
+
+def with_verdict(docs: DataFrame, name: str, text_col: str = "text", lang_col: str = "lang",
+                 columns: list[str] | None = None, max_char_distance: float = 0.30, max_word_distance: float = 0.50,
+                 **limits) -> DataFrame:
+    """``columns`` of ``docs`` (all if not given) with a struct column ``name`` of counts, distances and verdict."""
+    columns = docs.columns if columns is None else columns
+    lang, key = f"{name}_lang", f"{name}_key"
+    # small written tables: their size is known, so the texts need not move to meet them
+    refs = stored(language_references(docs, text_col, lang_col).toDF(lang, f"{name}_ref"))
+    joined = docs.join(refs, F.col(lang_col).cast("string").eqNullSafe(F.col(lang)), "left")
+    measured = stored(joined.select(*[docs[c] for c in columns], docs[lang_col].cast("string").alias(key),
+                                    quality_measures(F.col(text_col).cast("string"), F.col(f"{name}_ref"), **limits)
+                                    .alias(f"{name}_measures")))
+    m = F.col(f"{name}_measures")
+    fixed = {"char_distance": max_char_distance, "word_distance": max_word_distance, "mark_distance": 1.0}
+
+    def fence(distance: str) -> Column:
+        quartiles = F.percentile(F.round(m[distance], 4), [0.25, 0.75])
+        spread = F.greatest(quartiles[1] - quartiles[0], F.lit(LEAST_SPREAD))
+        found = F.when(F.count(m[distance]) >= FENCE_DOCUMENTS, quartiles[1] + FENCES[distance] * spread)
+        return F.least(found, F.lit(float(fixed[distance]))).alias(distance)
+
+    fences = stored(measured.groupBy(F.col(key).alias(lang)).agg(F.struct(*map(fence, fixed)).alias(f"{name}_max")))
+    judged = measured.join(fences, F.col(key).eqNullSafe(F.col(lang)), "left")
+    kept = ~m["base_failed"]
+    for distance in fixed:
+        kept &= F.coalesce(m[distance] <= F.col(f"{name}_max")[distance], F.lit(True))
+    fields = [f.split(" ")[0] for f in MEASURES.split(", ")]
+    return judged.select(*[measured[c] for c in columns],
+                         F.struct(*[m[f].alias(f) for f in fields], kept.alias("kept")).alias(name))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
                   **limits) -> DataFrame:
-    """One row per document: counts, distances and ``kept`` (see ``quality_verdict`` for the limits)."""
+    """One row per document: counts, distances and ``kept`` (see ``quality_measures`` and ``with_verdict`` for the limits)."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    return with_verdict(d, "verdict", **limits).select("doc_id", "verdict.*")
+    return with_verdict(d, "verdict", columns=["doc_id"], **limits).select("doc_id", "verdict.*")
 
 
 @small_batches

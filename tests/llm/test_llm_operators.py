@@ -118,6 +118,17 @@ def test_divergence_rejects_another_alphabet_but_guards_short_texts(spark):
     assert quality.js_distance(np.array([1, 0]), np.array([0, 5])) == pytest.approx(1)
 
 
+def test_limits_follow_the_distances_of_the_language(spark):
+    clean = [(i, sentence(random.randint(60, 200)), "en", True) for i in range(400)]
+    menus = [(1000 + i, " | ".join(sentence(150).split()), "en", False) for i in range(20)]
+    rows = clean + menus
+    got = {r.doc_id: r for r in quality.quality_rules(
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, kept boolean"), max_repeat_percent=100).collect()}
+    assert not any(got[i].kept for i, *_ in menus)
+    assert all(got[i].char_distance <= 0.30 and got[i].word_distance <= 0.50 for i, *_ in menus)  # the fixed limits pass them
+    assert sum(got[i].kept for i, *_ in clean) >= 396
+
+
 # ---- SimHash ------------------------------------------------------------------------
 
 def test_simhash_against_all_pairs(docs):
