@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from lexiscope.llm import (
-    chat, decontaminate, langid, licenses, minhash, packing, paragraphs, quality, simhash, suffix_dedup, warc,
+    chat, decontaminate, langid, licenses, minhash, packing, paragraphs, phrases, quality, simhash, suffix_dedup, warc,
 )
 
 QUERIES = {
@@ -19,11 +19,13 @@ QUERIES = {
     "op9_license_scan": licenses.op9_license_scan,
     "op10_chat_formatting": chat.op10_chat_formatting,
     "op12_minhash_near_dedup": minhash.op12_minhash_near_dedup,
+    "op13_phrase_mining": phrases.op13_phrase_mining,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
     "op7_benchmark_decontamination": decontaminate.OP7_SQL.strip(),
+    "op13_phrase_mining": phrases.OP13_SQL.strip(),
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
