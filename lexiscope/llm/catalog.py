@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from lexiscope.llm import (
-    chat, decontaminate, langid, licenses, minhash, packing, paragraphs, phrases, quality, simhash, suffix_dedup, warc,
+    alignment, chat, decontaminate, langid, licenses, minhash, packing, paragraphs, phrases, quality, simhash, suffix_dedup, warc,
 )
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_chat_formatting": chat.op10_chat_formatting,
+    "op11_tokenizer_alignment": alignment.op11_tokenizer_alignment,
     "op12_minhash_near_dedup": minhash.op12_minhash_near_dedup,
     "op13_phrase_mining": phrases.op13_phrase_mining,
     "pipeline": corpus_pipeline.run,
