@@ -10,8 +10,9 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
@@ -67,7 +68,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """Path for a written intermediate table next to the checkpoints, in one folder per run."""
-    return f"{_run_folder(spark)}/{name}"
+    scope = getattr(spark.sparkContext, "_lexiscope_scope", None)
+    return "/".join([_run_folder(spark), *([scope] if scope else []), name])
 
 
 def _run_folder(spark: SparkSession) -> str:
@@ -75,11 +77,36 @@ def _run_folder(spark: SparkSession) -> str:
     return f"{base}/tables/{spark.sparkContext.applicationId}"
 
 
+def begin_scope(spark: SparkSession, name: str, still_read: DataFrame) -> None:
+    """Write further intermediate tables under ``name`` and delete those of earlier scopes.
+
+    For steps whose results are saved before the next step begins: what an
+    earlier scope wrote is no longer needed then, except where ``still_read``
+    reads it.  Tables written outside scopes stay.
+    """
+    sc = spark.sparkContext
+    past = getattr(sc, "_lexiscope_scopes", [])
+    files = still_read.inputFiles() if past else []
+    kept = [scope for scope in past if any(f"/{scope}/" in f for f in files)]
+    for scope in set(past) - set(kept):
+        _delete(spark, f"{_run_folder(spark)}/{scope}")
+    sc._lexiscope_scope = f"{name}-{uuid4().hex}"
+    sc._lexiscope_scopes = [*kept, sc._lexiscope_scope]
+
+
+def end_scope(spark: SparkSession) -> None:
+    """Write further intermediate tables outside scopes; the last scope's tables stay until the next one begins."""
+    spark.sparkContext._lexiscope_scope = None
+
+
 def drop_intermediate(spark: SparkSession) -> None:
     """Delete the intermediate tables of this run; results that still read them must be saved first."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    folder = jvm.org.apache.hadoop.fs.Path(_run_folder(spark))
-    folder.getFileSystem(conf).delete(folder, True)
+    _delete(spark, _run_folder(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def ship_package(spark: SparkSession) -> None:
