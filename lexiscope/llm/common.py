@@ -92,7 +92,10 @@ def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
 
     spark, name = df.sparkSession, f"lexiscope_{uuid4().hex}"
     df.write.bucketBy(buckets, key).option("path", scratch_path(spark, name)).saveAsTable(name)
-    return spark.table(name)
+    rows = spark.table(name)
+    rows.schema  # resolved here: the plan keeps the files and buckets
+    spark.sql(f"DROP TABLE {name}")  # the entry goes; the files of a table with a path stay
+    return rows
 
 
 def release_memory() -> None:
