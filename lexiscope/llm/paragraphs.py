@@ -1,21 +1,33 @@
 """Near-duplicate paragraphs by MinHash banding.
 
-A paragraph is a line of at least five words; its shingles are five words.
-Bands are tuned for recall: ``tuned_bands`` takes the shape with the fewest
-hashes that finds a pair at the threshold with the wanted probability.
-
-1. Shards (a written table) give the sorted hashes of their paragraphs' bands
-   and of their whole shingle sets; the lists meet by hash range and each
-   shard learns which of its hashes also occur elsewhere.
-2. Only colliding paragraphs go on.  Those with the same shingles are one class
-   from here; classes that share a band are compared by exact Jaccard, in
-   pieces of bounded size; a task passes on a forest of the links it finds.
+A paragraph has at least ``LEAST_WORDS`` words and is one of
+
+* a line;
+* a run: the text from an anchor word to the next anchor at least that many
+  words on, across line breaks.  A word is an anchor if the hash of it and its
+  successor is the least within ``REACH`` words on both sides, so the same passage
+  has the same runs in whatever text it stands.
+
+A character of three or more UTF-8 bytes is a word by itself, so scripts without
+spaces have paragraphs too.  Shingles are five words.  Lines link by exact Jaccard
+similarity; runs overlap one another and link where all their shingles are equal (in
+so short a text one other word already falls below 0.8).  Bands are tuned for
+recall: ``tuned_bands`` takes the shape with the fewest hashes that finds a pair at
+the threshold with the wanted probability.
+
+1. Shards (a written table) give the sorted hashes of their lines' bands and
+   of all paragraphs' shingles; the lists meet by hash range and each shard
+   learns which of its hashes also occur elsewhere.
+2. Only colliding paragraphs go on.  Those with the same shingles (by a digest of
+   128 bits) are one class from here; classes that share a band are compared by
+   exact Jaccard, in pieces of bounded size; a task passes on a forest of the links
+   it finds.
 3. Classes join into components; the first paragraph of each (smallest doc_id,
    then place) stays, the others are cut out.
 
-Defined results: null and empty texts have no paragraphs; lines of fewer words
-never link; a null doc_id counts as larger than all others; repeated rows are
-ordered by their place in the shard table; an empty table gives no rows; other
+Defined results: null and empty texts have no paragraphs; shorter lines never
+link by themselves; a null doc_id counts as larger than all others; repeated rows
+are ordered by their place in the shard table; an empty table gives no rows; other
 columns pass through.
 """
 
@@ -32,8 +44,11 @@ from lexiscope.llm.simhash import Forest, components
 from lexiscope.llm.suffix_dedup import (
     LAST, SHARD_BYTES, apply_runs, bucket_bounds, deflate, inflate, removed_bytes, shard_table, unsqueeze,
 )
+from lexiscope.llm.words import chained, mix, word_hashes
 
 SHINGLE_WORDS = 5
+LEAST_WORDS = 24
+REACH = 3
 MIN_JACCARD = 0.8
 RECALL = 0.999
 BUCKET_HASHES = 500_000
@@ -41,7 +56,7 @@ SLICE_BYTES = 1 << 20
 PIECE = 256
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 or c == 10 else 32
              for c in range(256))
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def tuned_bands(similarity: float = MIN_JACCARD, recall: float = RECALL, least_rows: int = 2) -> tuple[int, int]:
@@ -53,93 +68,131 @@ def tuned_bands(similarity: float = MIN_JACCARD, recall: float = RECALL, least_r
     return min(shapes)[1:]
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _MIX
-    return x ^ (x >> np.uint64(29))
+def word_places(folded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in folded bytes."""
+    inside = folded > 32
+    wide3, wide4, tail = (folded >= 0xE0) & (folded < 0xF0), folded >= 0xF0, (folded & 0xC0) == 0x80
+    cut = wide3 | wide4
+    cut[3:] |= wide3[:-3] & ~tail[3:]
+    cut[4:] |= wide4[:-4] & ~tail[4:]
+    start = inside & (cut | ~np.concatenate([[False], inside[:-1]]))
+    stop = inside & np.concatenate([start[1:] | ~inside[1:], [True]])
+    return np.flatnonzero(start), np.flatnonzero(stop) + 1
+
+
+def anchors(pair: np.ndarray, doc: np.ndarray, reach: int = REACH) -> np.ndarray:
+    """Words whose hash is the least (the first of equals) within ``reach`` words of their document."""
+    if not len(pair):
+        return np.zeros(0, np.int64)
+    at = np.arange(len(pair)) + (doc + 1) * reach  # a gap between documents
+    spread = np.full(int(at[-1]) + reach + 1, _NONE)
+    spread[at] = pair
+    best = spread[reach:-reach].copy() if reach else spread.copy()
+    keep = np.ones(len(best), bool)
+    for d in range(1, reach + 1):
+        keep &= (best < spread[reach - d:len(spread) - reach - d]) & (best <= spread[reach + d:len(spread) - reach + d])
+    return np.flatnonzero(keep[at - reach])
 
 
 class Paragraphs:
-    """The eligible lines of a shard: place, distinct shingles, set digests and band hashes."""
+    """The paragraphs of a shard: place, shingle digests, and the lines' band hashes.
 
-    def __init__(self, sizes: np.ndarray, data: bytes, bands: int, rows: int):
+    ``line`` has the lines' index in ``band``, -1 for runs; paragraph ``i`` has the
+    shingles ``shingle[lead[i]:lead[i] + count[i]]`` (in text order, repeats included).
+    """
+
+    def __init__(self, sizes: np.ndarray, data: bytes, bands: int, rows: int, min_jaccard: float, least_words: int):
         ends = np.cumsum(sizes)
-        parts, shingles = [], 0
+        parts, shingles, lines = [], 0, 0
         for a, z in slices(sizes.tolist(), SLICE_BYTES):
-            shingle, lead, doc, *rest = self._part(sizes[a:z], data[ends[a] - sizes[a]:ends[z - 1]], bands, rows)
-            parts.append((shingle, lead + shingles, doc + a, *rest))
+            shingle, lead, doc, line, band, *rest = self._part(
+                sizes[a:z], data[ends[a] - sizes[a]:ends[z - 1]], bands, rows, least_words)
+            parts.append((shingle, lead + shingles, doc + a, np.where(line < 0, -1, line + lines), band, *rest))
             shingles += len(shingle)
-        (self.shingle, self.lead, self.doc, self.count, self.start, self.stop, self.set1, self.set2, self.band,
-         self.banded) = (np.concatenate(x) for x in zip(*parts))
+            lines += len(band)
+        (self.shingle, self.lead, self.doc, self.line, self.band, self.count, self.start, self.stop, self.set1,
+         self.set2) = (np.concatenate(x) for x in zip(*parts))
+        # a partner with other shingles at the threshold needs at least this many
+        least = np.ceil(min_jaccard / (1 - min_jaccard) - 1e-9) if min_jaccard < 1 else np.inf
+        own = np.flatnonzero(self.line >= 0)
+        self.banded = np.zeros(len(self.band), bool)
+        self.banded[self.line[own]] = self.count[own] >= least
 
     @staticmethod
-    def _part(sizes: np.ndarray, data: bytes, bands: int, rows: int) -> tuple[np.ndarray, ...]:
+    def _part(sizes: np.ndarray, data: bytes, bands: int, rows: int, least: int) -> tuple[np.ndarray, ...]:
         ends = np.cumsum(sizes)
         starts = ends - sizes
-        texts = [data[a:z] for a, z in zip(starts.tolist(), ends.tolist())]
-        joined = b"\n".join(texts)  # so that no line crosses texts
-        folded = joined.translate(FOLD)
+        joined = b"\n".join(data[a:z] for a, z in zip(starts.tolist(), ends.tolist()))  # no line crosses texts
+        folded = np.frombuffer(joined.translate(FOLD), np.uint8)
         base = starts + np.arange(len(sizes))
-        breaks = np.flatnonzero(np.frombuffer(folded, np.uint8) == 10)
+        breaks = np.flatnonzero(folded == 10)
         line_start = np.concatenate([[0], breaks + 1])
         line_stop = np.concatenate([breaks, [len(joined)]])
-        inside = np.frombuffer(folded, np.uint8) > 32
-        word_start = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
-        words = pa.array(folded.split(), pa.binary()).dictionary_encode()
-        known = np.array([xxh3_64_intdigest(w) for w in words.dictionary.to_pylist()], np.uint64)
-        hashes = known[words.indices.to_numpy(zero_copy_only=False)] if len(known) else np.zeros(0, np.uint64)
-        line = np.searchsorted(line_start, word_start, side="right") - 1
+        word_start, word_stop = word_places(folded)
+        hashes = word_hashes(folded, word_start, word_stop)
+        n = len(hashes)
+        word_doc = np.searchsorted(base, word_start, side="right") - 1
         last = SHINGLE_WORDS - 1
-        n = max(0, len(hashes) - last)
-        shingle = np.zeros(n, np.uint64)
-        for k in range(SHINGLE_WORDS):
-            shingle = _mix(shingle ^ hashes[k:k + n])
-        valid = line[:n] == line[last:last + n]
-        shingle, line = shingle[valid], line[:n][valid]
-        order = np.lexsort((shingle, line))
-        shingle, line = shingle[order], line[order]
-        new = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (line[1:] != line[:-1])])[:len(line)]
-        shingle, line = shingle[new], line[new]
-        lead = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])[:len(line)])
-        count = np.diff(np.concatenate([lead, [len(line)]])).astype(np.int64)
-        own = line[lead]
-        doc = np.searchsorted(base, line_start[own], side="right") - 1
-        start = line_start[own] - base[doc]
-        # the line break goes with its line
-        stop = np.minimum(line_stop[own] + 1 - base[doc], sizes[doc])
-        # a partner with other shingles at the threshold needs at least this many
-        banded = count >= np.ceil(MIN_JACCARD / (1 - MIN_JACCARD) - 1e-9)
+        shingle = np.concatenate([chained(hashes, SHINGLE_WORDS), np.zeros(min(last, n), np.uint64)])
+        # lines: their words, and the break goes with its line
+        edge = np.searchsorted(word_start, np.concatenate([line_start, [len(joined) + 1]]))
+        own = np.flatnonzero(np.diff(edge) >= least)
+        line_lead, line_words = edge[own], np.diff(edge)[own]
+        line_doc = np.searchsorted(base, line_start[own], side="right") - 1
+        # runs: from an anchor to the first one far enough on
+        pair = np.concatenate([chained(hashes, 2), hashes[-1:]])
+        if n:  # a document's last word has no successor
+            pair[np.flatnonzero(word_doc[1:] != word_doc[:-1])] = _NONE
+            pair[-1] = _NONE
+        at = anchors(pair, word_doc)
+        to = np.searchsorted(at, at + least)
+        fits = np.flatnonzero(to < len(at))
+        fits = fits[word_doc[at[fits]] == word_doc[at[to[fits]]]]
+        run_lead, run_stop = at[fits], at[to[fits]]
+        run_doc = word_doc[run_lead]
+        lead, words = np.concatenate([line_lead, run_lead]), np.concatenate([line_words, run_stop - run_lead])
+        doc = np.concatenate([line_doc, run_doc])
+        start = np.concatenate([line_start[own], word_start[run_lead]]) - base[doc]
+        stop = np.concatenate([line_stop[own] + 1, word_start[run_stop]]) - base[doc]
+        stop = np.minimum(stop, sizes[doc])
+        count = words - last
+        digests = []
+        for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
+            total = np.concatenate([[np.uint64(0)], np.cumsum(mix(shingle ^ np.uint64(salt)), dtype=np.uint64)])
+            digests.append(mix(total[lead + count] - total[lead]))
         band = np.zeros((len(own), bands), np.uint64)
-        set1 = set2 = np.zeros(0, np.uint64)
         if len(own):
-            set1 = _mix(np.add.reduceat(_mix(shingle), lead))
-            set2 = _mix(np.add.reduceat(_mix(shingle ^ np.uint64(0xA5A5)), lead))
+            edges = np.stack([line_lead, line_lead + line_words - last], axis=1).ravel()
             for b in range(bands):
                 h = np.full(len(own), b + 1, np.uint64)
                 for r in range(rows):
                     salt = np.uint64(xxh3_64_intdigest(b"%d" % (b * rows + r)))
-                    h = _mix(h ^ np.minimum.reduceat(_mix(shingle ^ salt), lead))
+                    h = mix(h ^ np.minimum.reduceat(mix(shingle ^ salt), edges)[::2])
                 band[:, b] = h
-        return shingle, lead, doc, count, start, stop, set1, set2, band, banded
+        line = np.concatenate([np.arange(len(own)), np.full(len(run_lead), -1)])
+        return shingle, lead, doc, line, band, count, start, stop, *digests
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct hashes (bands and sets) and how often each occurs here."""
+        """Sorted distinct hashes (bands and digests) and how often each occurs here."""
         return np.unique(np.concatenate([self.band[self.banded].ravel(), self.set1]), return_counts=True)
 
 
-def _each(batch: pa.RecordBatch, bands: int, rows: int):
+def _each(batch: pa.RecordBatch, *options):
     for k in range(batch.num_rows):
         sizes = np.array(batch.column("sizes")[k].as_py(), np.int64)
-        yield k, Paragraphs(sizes, unsqueeze(batch.column("data")[k].as_py(), sizes.sum()), bands, rows)
+        yield k, Paragraphs(sizes, unsqueeze(batch.column("data")[k].as_py(), sizes.sum()), *options)
 
 
-def colliding(shards: DataFrame, buckets: int, bands: int, rows: int) -> DataFrame:
+def colliding(shards: DataFrame, buckets: int, bands: int, rows: int, min_jaccard: float, least_words: int) -> DataFrame:
     """``(shard_id, doc, id, start, stop, set1, set2, shingles, bands)`` of paragraphs that share a hash.
 
-    Shingles and bands are given once per distinct set and shard.
+    The distinct shingles and the bands are given for lines, once per digest and shard.
     """
+    options = bands, rows, min_jaccard, least_words
+
     def give(batches):
         for batch in batches:
-            for k, p in _each(batch, bands, rows):
+            for k, p in _each(batch, *options):
                 found, _ = p.hashes()
                 cut = bucket_bounds(found, buckets)
                 out = [(b, deflate(found[a:z])) for b, (a, z) in enumerate(zip(cut[:-1], cut[1:])) if z > a]
@@ -165,7 +218,7 @@ def colliding(shards: DataFrame, buckets: int, bands: int, rows: int) -> DataFra
 
     def hits(batches):
         for batch in batches:
-            for k, p in _each(batch, bands, rows):
+            for k, p in _each(batch, *options):
                 found, counts = p.hashes()
                 cut = bucket_bounds(found, buckets)
                 again = counts > 1
@@ -174,25 +227,32 @@ def colliding(shards: DataFrame, buckets: int, bands: int, rows: int) -> DataFra
                     again[a:z] |= np.unpackbits(np.frombuffer(m["again"], np.uint8), count=z - a).astype(bool)
                 again = np.append(again, False)  # hashes of bands that are not given are past the end, or miss
                 band_hit = again[np.searchsorted(found, p.band)] & p.banded[:, None]
-                hit = np.flatnonzero(again[np.searchsorted(found, p.set1)] | band_hit.any(axis=1))
-                ids = batch.column("ids")[k].as_py()
-                shard, seen, out = batch.column("shard_id")[k].as_py(), set(), []
-                s1, s2 = p.set1.view(np.int64), p.set2.view(np.int64)
-                shingles, band = p.shingle.view(np.int64), p.band.view(np.int64)
-                for i in hit.tolist():
-                    key = (int(s1[i]), int(s2[i]))
-                    first = key not in seen
-                    seen.add(key)
-                    a = int(p.lead[i])
-                    d = int(p.doc[i])
-                    out.append((shard, d, LAST if ids[d] is None else ids[d], int(p.start[i]), int(p.stop[i]), *key,
-                                shingles[a:a + int(p.count[i])].tolist() if first else None,
-                                band[i][band_hit[i]].tolist() if first else None))
-                types = [pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.list_(pa.int64()), pa.list_(pa.int64())]
-                names = [f.split(" ")[0] for f in schema.split(", ")]
-                for i in range(0, len(out), 20_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i:i + 20_000]), types)],
-                                                     names=names)
+                is_hit = again[np.searchsorted(found, p.set1)]
+                lines = np.flatnonzero(p.line >= 0)
+                is_hit[lines] |= band_hit[p.line[lines]].any(axis=1)
+                hit = np.flatnonzero(is_hit)
+                ids = np.array([LAST if i is None else i for i in batch.column("ids")[k].as_py()], np.int64)
+                shard = batch.column("shard_id")[k].as_py()
+                first = np.zeros(len(p.line), bool)
+                own = hit[p.line[hit] >= 0]
+                if len(own):
+                    by = own[np.lexsort((p.set2[own], p.set1[own]))]
+                    first[by[np.concatenate([[True], (p.set1[by[1:]] != p.set1[by[:-1]]) |
+                                             (p.set2[by[1:]] != p.set2[by[:-1]])])]] = True
+                for i in range(0, len(hit), 20_000):
+                    part = hit[i:i + 20_000]
+                    shingles, bands_ = [None] * len(part), [None] * len(part)
+                    for j in np.flatnonzero(first[part]).tolist():
+                        w = part[j]
+                        shingles[j] = np.unique(p.shingle[p.lead[w]:p.lead[w] + p.count[w]]).view(np.int64)
+                        bands_[j] = p.band[p.line[w]][band_hit[p.line[w]]].view(np.int64)
+                    d = p.doc[part]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(part), shard), pa.int64()), pa.array(d, pa.int32()), pa.array(ids[d]),
+                         pa.array(p.start[part], pa.int64()), pa.array(p.stop[part], pa.int64()),
+                         pa.array(p.set1[part].view(np.int64)), pa.array(p.set2[part].view(np.int64)),
+                         pa.array(shingles, pa.list_(pa.int64())), pa.array(bands_, pa.list_(pa.int64()))],
+                        names=[f.split(" ")[0] for f in schema.split(", ")])
         release_memory()
 
     return shards.select("shard_id", "ids", "sizes", "data").join(per_shard, "shard_id").mapInArrow(hits, schema)
@@ -238,17 +298,20 @@ def jaccard_links(classes: DataFrame, min_jaccard: float = MIN_JACCARD, piece: i
 
 
 def remove_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                      min_jaccard: float = MIN_JACCARD, recall: float = RECALL) -> DataFrame:
+                      min_jaccard: float = MIN_JACCARD, recall: float = RECALL,
+                      least_words: int = LEAST_WORDS) -> DataFrame:
     """``(rest, n_bytes, spans, kept, owners)``: documents without paragraphs that nearly repeat an earlier one.
 
     ``owners`` are the ids of the documents that keep the paragraphs cut here.
     """
+    least_words = max(least_words, SHINGLE_WORDS)
     bands, rows = tuned_bands(min_jaccard, recall)
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     parallel = docs.sparkSession.sparkContext.defaultParallelism
     shards = shard_table(docs, id_col, text_col, max(parallel, -(-total // (2 * SHARD_BYTES))))
-    buckets = max(parallel, int(total / 60 * (bands + 1) / BUCKET_HASHES) + 1)
-    found = stored(colliding(shards, buckets, bands, rows))
+    # about one line of (bands + 1) hashes and three runs of one in 200 bytes
+    buckets = max(parallel, int(total / 200 * (bands + 4) / BUCKET_HASHES) + 1)
+    found = stored(colliding(shards, buckets, bands, rows, min_jaccard, least_words))
     place = F.struct("id", "shard_id", "doc", "start")
     classes = stored(found.groupBy("set1", "set2")
                      .agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"),

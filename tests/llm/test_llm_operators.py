@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -281,35 +282,60 @@ def test_archives_round_trip(spark, tmpdir_path):
 
 # ---- paragraphs -----------------------------------------------------------------------------
 
-def test_paragraphs_against_brute_force(spark, docs):
-    line = sentence(60)
-    near = " ".join(line.split()[:-1] + ["changed"])
-    extra = [(700, line), (701, "keep this one line here\n" + near), (702, "a b\na b"), (703, line + "\n" + line)]
-    given = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
-    done = paragraphs.remove_paragraphs(given).select("rest.doc_id", "spans").collect()
-    rows = sorted(as_rows(given), key=lambda r: key(r[0]))
-    paras = []
-    for n, (i, t) in enumerate(rows):
+def brute_paragraphs(rows, least, reach=paragraphs.REACH):
+    """(row, start, stop, is line, shingles) of every paragraph."""
+    for n, (_, t) in enumerate(rows):
+        words = [(m.start(), m.end()) for m in re.finditer(
+            rb"(?:[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xff][\x80-\xbf]{3}|[0-9A-Za-z\x80-\xdf]+)", t)]
+        low = [t[a:z].translate(paragraphs.FOLD) for a, z in words]
         at = 0
         for x in t.split(b"\n"):
-            w = x.translate(paragraphs.FOLD).split()
-            if len(w) >= 5:
-                paras.append((n, at, min(at + len(x) + 1, len(t)), frozenset(tuple(w[k:k + 5]) for k in range(len(w) - 4))))
+            own = [w for w, (a, _) in zip(low, words) if at <= a < at + len(x)]
+            if len(own) >= least:
+                yield n, at, min(at + len(x) + 1, len(t)), True, tuple(tuple(own[k:k + 5]) for k in range(len(own) - 4))
             at += len(x) + 1
+        data = np.frombuffer(t.translate(paragraphs.FOLD), np.uint8)
+        h = paragraphs.word_hashes(data, *(np.array(c, np.int64) for c in zip(*words))) if words else []
+        v = [int(paragraphs.chained(h[k:k + 2], 2)[0]) for k in range(len(h) - 1)] + [2 ** 64 - 1]
+        anchor = [k for k in range(len(words)) if all(v[k] < x for x in v[max(0, k - reach):k])
+                  and all(v[k] <= x for x in v[k + 1:k + 1 + reach]) and v[k] < 2 ** 64 - 1]
+        for k in anchor:
+            to = next((j for j in anchor if j >= k + least), None)
+            if to is not None:
+                own = low[k:to]
+                yield n, words[k][0], words[to][0], False, tuple(tuple(own[j:j + 5]) for j in range(len(own) - 4))
+
+
+@pytest.mark.parametrize("least,threshold", [(24, 0.8), (5, 0.5)])
+def test_paragraphs_against_brute_force(spark, docs, least, threshold):
+    line, passage = sentence(60), " ".join("w%d" % random.randint(0, 900) for _ in range(70))
+    wide = "".join(chr(0x4E00 + random.randint(0, 900)) for _ in range(60))
+    near = " ".join(line.split()[:-1] + ["changed"])
+    extra = [(700, line), (701, "keep this one line here\n" + near), (702, "a b\na b"), (703, line + "\n" + line),
+             (704, "x y z " + passage + " and more"), (705, "other\n" + passage.replace(" ", "\n", 30) + "\nend"),
+             (706, wide), (707, "\u3002" + wide + "x")]
+    given = docs.select("doc_id", "text").filter("length(text) < 3000 or text is null").union(
+        spark.createDataFrame(extra, "doc_id long, text string"))
+    done = paragraphs.remove_paragraphs(given, min_jaccard=threshold, least_words=least).select("rest.doc_id", "spans").collect()
+    rows = sorted(as_rows(given), key=lambda r: key(r[0]))
+    paras = sorted(brute_paragraphs(rows, least), key=lambda p: p[:2])
     up = list(range(len(paras)))
-    for _ in range(4):
-        for a in range(len(paras)):
-            for b in range(a):
-                s, t = paras[a][3], paras[b][3]
-                if len(s & t) >= 0.8 * len(s | t):
-                    up[a] = up[b] = min(up[a], up[b])
-    cut = Counter()
-    for a, (n, x, z, _) in enumerate(paras):
-        if up[a] != a:
-            cut[n] += z - x
-    want = Counter((i, cut[n]) for n, (i, _) in enumerate(rows))
+    sets = [set(p[4]) for p in paras]
+    links = [(a, b) for a in range(len(paras)) for b in range(a) if paras[a][4] and Counter(paras[a][4]) == Counter(paras[b][4])
+             or paras[a][3] and paras[b][3] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])]
+    before = None
+    while before != up:
+        before = list(up)
+        for a, b in links:
+            up[a] = up[b] = min(up[a], up[b])
+    cut = [set() for _ in rows]
+    for a, (n, x, z, _, _) in enumerate(paras):
+        if (n, x) != paras[up[a]][:2]:
+            cut[n].update(range(x, z))
+    want = Counter((i, len(cut[n])) for n, (i, _) in enumerate(rows))
     assert Counter((r.doc_id, sum(s.stop - s.start for s in r.spans)) for r in done) == want
-    assert {r.doc_id for r in done if r.spans} >= {701, 703}
+    gone = {r.doc_id: sum(s.stop - s.start for s in r.spans) for r in done}
+    assert gone[701] and gone[703] and gone[705] >= len(passage) / 2 and gone[707] >= len(wide) * 1.5
     assert paragraphs.remove_paragraphs(given.limit(0)).count() == 0
 
 
