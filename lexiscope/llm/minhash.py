@@ -14,14 +14,14 @@ hashes.  A set is done as soon as all its places hold offers of earlier steps
 2. Bands meet by a groupBy with partial counts; bands with the same members
    are kept once.  Only classes that share a band go on; their sets are read
    back from the shards once.
-3. Star rounds: every class is verified against one class of its bands (that
-   which stands in most of them), so a group of near copies becomes one
-   component by a number of comparisons linear in its size.
+3. In pieces of bounded size the sketches of a band's classes are compared and the
+   pairs of a spanning forest of the likeliest ones are verified, so a group of
+   near copies becomes one component by a number of verifications linear in its size.
 4. Classes that share a band but are not yet connected are compared by their
-   sketches in pieces of bounded size; pairs that may reach the threshold are
-   verified on their full sets.  Bands with very many members are met on two
-   shared bands instead of one (pairs at the threshold share more than one
-   with the probability that ``tuned_bands`` asks for).
+   sketches, piece by piece; all pairs that may reach the threshold are verified
+   on their full sets.  Bands with very many members are met on two shared bands
+   instead of one (pairs at the threshold share more than one with the
+   probability that ``tuned_bands`` asks for).
 5. All verified links join into components.
 
 Verification compares 64-bit shingle hashes of the whole sets.  Links are found
@@ -53,10 +53,10 @@ SHINGLE_WORDS = 4
 PERCENT = 80
 PLACES = 128
 RECALL = 1 - 1e-5
+#: classes of a band that are compared at once
 PIECE = 256
 #: members of a band beyond which pairs must share two bands
 HOT_BAND = 4096
-STAR_ROUNDS = 2
 _BLANK = np.isin(np.arange(256), [*b" \t\n\r\v\f"])
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -232,7 +232,7 @@ def class_sets(shards: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             .mapInArrow(run, "node long, shingles binary"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, piece: int = 1024) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, piece: int = 256) -> DataFrame:
     """The ``pairs(x, y)`` whose sets reach the threshold.
 
     The set of ``x`` goes once to every piece of its partners, theirs follow in
@@ -270,6 +270,60 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, piece: int = 1024)
     return rows.select("x", "y", "shingles").mapInArrow(run, "a long, b long")
 
 
+def _members(batch: pa.RecordBatch, k: int, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, components, sketches) of a piece."""
+    own = batch.column(name).slice(k, 1).flatten()
+    sketch = np.frombuffer(b"".join(own.field("sketch").to_pylist()), np.uint8).reshape(len(own), -1)
+    return own.field("node").to_numpy(), own.field("comp").to_numpy(), sketch
+
+
+def _matches(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Equal places of every pair of sketches."""
+    out = np.empty((len(one), len(two)), np.int32)
+    for i in range(0, len(one), 64):
+        out[i:i + 64] = (one[i:i + 64, None, :] == two[None, :, :]).sum(axis=2, dtype=np.int32)
+    return out
+
+
+def spanning(matches: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Edges of a forest of the largest ``matches`` (at least ``least``) that spans all that are connected."""
+    n = len(matches)
+    best, link = np.full(n, -1), np.zeros(n, np.int64)
+    out, waiting = [], np.ones(n, bool)
+    for _ in range(n):
+        at = int(np.where(waiting, best, -2).argmax())
+        if best[at] >= least:
+            out.append((int(link[at]), at))
+        waiting[at] = False
+        closer = waiting & (matches[at] > best)
+        best[closer], link[closer] = matches[at][closer], at
+    return out
+
+
+def _pairs_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())],
+                                      names=["x", "y"])
+
+
+def _forest_pairs(met: DataFrame, prints: DataFrame, matches: int, piece: int) -> DataFrame:
+    """``(x, y)``: likely links that span the members of each piece of a band of ``met(band, node, n)``."""
+    cut = F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("n") / piece))
+    pieces = (met.join(prints, "node").withColumn("cut", cut).groupBy("band", "cut")
+              .agg(F.collect_list(F.struct("node", F.col("node").alias("comp"), "sketch")).alias("rows")))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for k in range(batch.num_rows):
+                node, _, sketch = _members(batch, k, "rows")
+                out += [(node[i], node[j]) for i, j in spanning(_matches(sketch, sketch), matches)]
+            a, b = np.array(out, np.int64).reshape(-1, 2).T
+            yield _pairs_batch(a, b)
+        release_memory()
+
+    return pieces.select("rows").mapInArrow(run, "x long, y long").distinct()
+
+
 def _piece_pairs(members: DataFrame, prints: DataFrame, matches: int, piece: int) -> DataFrame:
     """``(x, y)``: pairs of ``members(band, node, comp)`` in a band, of different components, with like sketches."""
     per = members.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("nc"))
@@ -287,20 +341,10 @@ def _piece_pairs(members: DataFrame, prints: DataFrame, matches: int, piece: int
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                sides = []
-                for name in ("rows", "rows2"):
-                    own = batch.column(name).slice(k, 1).flatten()
-                    sketch = np.frombuffer(b"".join(own.field("sketch").to_pylist()), np.uint8)
-                    sides.append((own.field("node").to_numpy(), own.field("comp").to_numpy(), sketch.reshape(len(own), -1)))
-                (n1, c1, s1), (n2, c2, s2) = sides
-                for i in range(0, len(n1), 64):
-                    like = (s1[i:i + 64, None, :] == s2[None, :, :]).sum(axis=2, dtype=np.int32) >= matches
-                    like &= c1[i:i + 64, None] != c2[None, :]
-                    p, q = np.nonzero(like)
-                    if len(p):
-                        a, b = n1[i + p], n2[q]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))],
-                                                         names=["x", "y"])
+                (n1, c1, s1), (n2, c2, s2) = (_members(batch, k, name) for name in ("rows", "rows2"))
+                p, q = np.nonzero((_matches(s1, s2) >= matches) & (c1[:, None] != c2[None, :]))
+                if len(p):
+                    yield _pairs_batch(n1[p], n2[q])
         release_memory()
 
     return met.select("rows", "rows2").mapInArrow(run, "x long, y long").distinct()
@@ -317,35 +361,27 @@ def near_links(shards: DataFrame, classes: DataFrame, percent: int = PERCENT, pl
     met = stored(member.join(groups.select("band", "n", "weight"), "band"))
     wanted = met.select("node").distinct()
     sets = stored(class_sets(shards, classes.select("node", "shard_id", "doc").join(wanted, "node"), width))
-    links = None
-    comps = met.select("node").distinct().withColumn("comp", F.col("node"))
-    for turn in range(STAR_ROUNDS):
-        # in each round another member of a band is its centre; classes already connected to it rest
-        named = met.join(comps, "node")
-        centre = named.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp"))
-                                           .alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        centre = centre.filter("lo <> hi").select("band", F.col("c.node").alias("x"), F.col("c.comp").alias("xc"))
-        star = (named.join(centre, "band").filter("comp <> xc").groupBy("node", "x")
-                .agg(F.sum("weight").alias("w")).groupBy("node").agg(F.max(F.struct("w", "x")).alias("best"))
-                .select(F.col("best.x").alias("x"), F.col("node").alias("y")))
-        found = stored(verified(star, sets, percent))
-        links = found if links is None else links.unionByName(found)
-        comps = _labelled(wanted, links)
+    prints, least = classes.select("node", "sketch"), least_matches(percent / 100, RECALL, places)
+    links = stored(verified(stored(_forest_pairs(met, prints, least, piece)), sets, percent))
+    roots = stored(components(links))
+    comps = (wanted.join(roots.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left")
+             .select("node", F.coalesce("root", "node").alias("comp")))
     named = met.join(comps, "node")
     # a band that stands for several with the same members is met by itself: its pairs share two bands
     usual = named.filter((F.col("n") <= hot_band) | (F.col("weight") > 1)).select("band", "node", "comp")
     hot = named.filter(F.col("n") > hot_band).select("band", "node", "comp")
     other = met.filter(F.col("n") > hot_band).select("node", F.col("band").alias("band2"))
     twice = hot.join(other, "node").filter("band < band2").select(F.xxhash64("band", "band2").alias("band"), "node", "comp")
-    pairs = _piece_pairs(usual.unionByName(twice), classes.select("node", "sketch"),
-                         least_matches(percent / 100, RECALL, places), piece)
-    return components(links.unionByName(verified(stored(pairs), sets, percent)))
-
-
-def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    roots = components(links).withColumnRenamed("node", "own")
-    return stored(nodes.join(roots, nodes["node"] == roots["own"], "left")
-                  .select("node", F.coalesce("root", "node").alias("comp")))
+    pairs = stored(_piece_pairs(usual.unionByName(twice), prints, least, piece))
+    more = stored(verified(pairs, sets, percent))
+    # late links join components: their roots are the nodes of a small graph of their own
+    label = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+    joined = (more.join(label, "a", "left").join(label.toDF("b", "rb"), "b", "left")
+              .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    late = components(joined).toDF("comp", "late")
+    nodes = roots.select("node", F.col("root").alias("comp")).unionByName(
+        late.select(F.col("comp").alias("node"), "comp").join(roots.select("node"), "node", "left_anti"))
+    return nodes.join(late, "comp", "left").select("node", F.coalesce("late", "comp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,

@@ -108,3 +108,21 @@ def test_shape_and_word_hashes():
     starts, ends = np.array([0, 3, 600_004, 600_007, 600_308]), np.array([2, 600_003, 600_006, 600_307, 600_310])
     h = word_hashes(np.frombuffer(data, np.uint8), starts, ends)
     assert h[0] == h[2] and len(set(h.tolist())) == 4
+
+
+def test_spanning_forest_joins_whatever_is_connected():
+    rng = np.random.default_rng(8)
+    m = rng.integers(0, 100, (30, 30))
+    m = np.maximum(m, m.T)
+    for least in (0, 60, 90, 97, 101):
+        up = list(range(30))
+        for edges in (spanned := minhash.spanning(m, least), [(i, j) for i in range(30) for j in range(i) if m[i, j] >= least]):
+            groups = {i: {i} for i in range(30)}
+            for a, b in edges:
+                if groups[a] is not groups[b]:
+                    groups[a] |= groups[b]
+                    for x in groups[b]:
+                        groups[x] = groups[a]
+            up = [min(groups[i]) for i in range(30)] if edges is spanned else up
+            assert [min(groups[i]) for i in range(30)] == up
+        assert all(m[a, b] >= least for a, b in spanned) and len(spanned) == 30 - len(set(up))
