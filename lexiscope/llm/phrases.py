@@ -48,6 +48,9 @@ TOP = 2000
 #: n-grams of a hash partition, and entries that a merge takes at once
 PARTITION_MASS = 3_000_000
 MERGE_ENTRIES = 500_000
+#: occurrences that are looked up at once
+LOOKUP = 500_000
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _KIND = np.zeros(256, np.uint8)  # 1: between words, 2: between pieces
 _KIND[[*b" \t"]] = 1
 _KIND[[*b".,;:!?\n\v\f\r"]] = 2
@@ -84,12 +87,11 @@ class Grams:
         self.word, self.start, self.stop, piece = (np.concatenate(x) for x in zip(*parts))
         self.doc = np.searchsorted(ends, self.start, side="right")
         self.salt = salt[self.doc] if len(salt) else np.zeros(0, np.uint64)
-        self.at, self.size = [], []
+        self.at = []
         for n in range(1, max_words + 1):
             last = max(0, len(piece) - n + 1)
             at = np.flatnonzero(piece[:last] == piece[n - 1:n - 1 + last])
-            self.at.append(at)
-            self.size.append(np.full(len(at), n, np.uint8))
+            self.at.append(at.astype(np.int32))
 
     def hashes(self, salt: int) -> np.ndarray:
         """64-bit hashes of all occurrences, words first, then pairs and so on."""
@@ -97,14 +99,21 @@ class Grams:
         return np.concatenate([mix(chained(word, n)[at] ^ (self.salt[at] + np.uint64(n)))
                                for n, at in enumerate(self.at, 1)])
 
-    def place(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, first byte, end) of all occurrences."""
-        at, size = np.concatenate(self.at), np.concatenate(self.size)
-        return self.doc[at], self.start[at], self.stop[at + size - 1]
+    def place(self, occurrence: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(document, first byte, end, words) of some occurrences."""
+        ends = np.cumsum([len(a) for a in self.at])
+        size = np.searchsorted(ends, occurrence, side="right") + 1
+        at = np.empty(len(occurrence), np.int64)
+        for n, own in enumerate(self.at, 1):
+            mine = size == n
+            at[mine] = own[occurrence[mine] - (ends[n - 1] - len(own))]
+        return self.doc[at], self.start[at], self.stop[at + size - 1], size
 
     def summary(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct hashes of ``bits`` bits and their counts."""
-        h = np.sort(self.hashes(0) >> np.uint64(64 - bits))
+        h = self.hashes(0)
+        h >>= np.uint64(64 - bits)
+        h.sort()
         new = np.ones(len(h), bool)
         new[1:] = h[1:] != h[:-1]
         lead = np.flatnonzero(new)
@@ -170,7 +179,7 @@ def survivors(shards: DataFrame, partitions: int, bits: int, min_count: int, max
 
     def merge(lists: pa.Table) -> pa.Table:
         blobs = lists["list"].to_pylist()
-        found = np.append(frequent(blobs, min_count), np.uint64(0xFFFFFFFFFFFFFFFF))
+        found = np.append(frequent(blobs, min_count), _NONE)
         keep = []
         for blob in blobs:
             h = np.cumsum(inflate(blob, 2)[0], dtype=np.uint64)
@@ -190,25 +199,28 @@ def counted(shards: DataFrame, kept: DataFrame, partitions: int, bits: int, max_
     def run(batches):
         for batch in batches:
             for k, grams in _grams(batch, max_words):
-                h = grams.hashes(0)
-                short = h >> np.uint64(64 - bits)
-                order = np.argsort(short, kind="stable")
-                short = short[order]
-                lead = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]]))
-                distinct = short[lead]
+                distinct, _ = grams.summary(bits)
                 cut = np.concatenate([[0], np.searchsorted(distinct, edges), [len(distinct)]])
                 keep = np.zeros(len(distinct), bool)
                 for m in batch.column("kept")[k].as_py():
                     a, z = cut[m["part"]], cut[m["part"] + 1]
                     keep[a:z] = np.unpackbits(np.frombuffer(m["keep"], np.uint8), count=z - a)
-                at = order[np.repeat(keep, np.diff(np.concatenate([lead, [len(short)]])))]
-                one, two = h[at], grams.hashes(0x6A09E667F3BCC909)[at]
+                distinct = np.append(distinct[keep], _NONE)
+                h = grams.hashes(0)
+                at = []
+                for a in range(0, len(h), LOOKUP):
+                    short = h[a:a + LOOKUP] >> np.uint64(64 - bits)
+                    at.append(np.flatnonzero(distinct[np.searchsorted(distinct[:-1], short)] == short).astype(np.int32) + a)
+                at = np.concatenate([*at, np.zeros(0, np.int32)]).astype(np.int32)
+                one = h[at]
+                del h, keep
+                two = grams.hashes(0x6A09E667F3BCC909)[at]
                 by = np.lexsort((two, one))
                 one, two, at = one[by], two[by], at[by]
                 lead = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])])[:len(at)])
                 n = np.diff(np.concatenate([lead, [len(at)]]))
-                doc, start, stop = (x[at[lead]] for x in grams.place())
-                words = np.concatenate(grams.size)[at[lead]]
+                doc, start, stop, words = grams.place(at[lead])
+                del one, two, by, at
                 langs = np.array(grams.langs, object)
                 text = grams.lower
                 for i in range(0, len(lead), 50_000):
@@ -226,7 +238,8 @@ def counted(shards: DataFrame, kept: DataFrame, partitions: int, bits: int, max_
                     [pa.array(list(per_lang), pa.string()), pa.nulls(len(per_lang), pa.string()),
                      pa.array([0] * len(per_lang), pa.int32()), pa.array(list(per_lang.values()), pa.int64())],
                     names=["lang", "phrase", "words", "n"])
-        release_memory()
+                del grams
+                release_memory()
 
     return (shards.select("shard_id", "sizes", "rest", "data").join(per_shard, "shard_id")
             .mapInArrow(run, "lang string, phrase string, words int, n long"))
