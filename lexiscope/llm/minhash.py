@@ -18,8 +18,9 @@ hashes.  A set is done as soon as all its places hold offers of earlier steps
    pairs of a spanning forest of the likeliest ones are verified, so a group of
    near copies becomes one component by a number of verifications linear in its size.
 4. Classes that share a band but are not yet connected are compared by their
-   sketches, piece by piece; all pairs that may reach the threshold are verified
-   on their full sets.  Bands with very many members are met on two shared bands
+   sketches, piece by piece; those with a pair that may reach the threshold meet again
+   with their full sets, and every such pair is verified unless its components are
+   joined already.  A task passes on a forest of the links it finds.  Bands with very many members are met on two shared bands
    instead of one (pairs at the threshold share more than one with the
    probability that ``tuned_bands`` asks for).
 5. All verified links join into components.
@@ -41,11 +42,11 @@ from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiscope.llm.common import SLICE_BYTES, release_memory, slices, small_batches, stored, table
-from lexiscope.llm.simhash import LOWER, components
+from lexiscope.llm.simhash import LOWER, Forest, components
 from lexiscope.llm.suffix_dedup import SHARD_BYTES, shard_table, unsqueeze
 from lexiscope.llm.words import chained, mix, word_hashes
 
@@ -232,6 +233,16 @@ def class_sets(shards: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             .mapInArrow(run, "node long, shingles binary"))
 
 
+def _reaches(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    """Are two sorted sets at least ``percent`` similar (Jaccard)?"""
+    small, large = (one, two) if len(one) < len(two) else (two, one)
+    if 100 * len(small) < percent * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    shared = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return 100 * shared >= percent * (len(small) + len(large) - shared)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, piece: int = 256) -> DataFrame:
     """The ``pairs(x, y)`` whose sets reach the threshold.
 
@@ -256,12 +267,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, piece: int = 256)
                 if y is None:
                     head = own
                     continue
-                small, large = (own, head) if len(own) < len(head) else (head, own)
-                if 100 * len(small) < percent * len(large):
-                    continue
-                at = np.searchsorted(large, small)
-                shared = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                if 100 * shared >= percent * (len(small) + len(large) - shared):
+                if _reaches(own, head, percent):
                     out.append((x, y))
             a, b = zip(*out) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -324,30 +330,79 @@ def _forest_pairs(met: DataFrame, prints: DataFrame, matches: int, piece: int) -
     return pieces.select("rows").mapInArrow(run, "x long, y long").distinct()
 
 
-def _piece_pairs(members: DataFrame, prints: DataFrame, matches: int, piece: int) -> DataFrame:
-    """``(x, y)``: pairs of ``members(band, node, comp)`` in a band, of different components, with like sketches."""
+def _met_pieces(members: DataFrame, cut: Column, columns: list[str]) -> DataFrame:
+    """Pairs of pieces ``(band, rows, rows2)`` of ``members``; pieces of one and the same component do not meet."""
+    pieces = stored(members.withColumn("cut", cut).groupBy("band", "cut")
+                    .agg(F.collect_list(F.struct(*columns)).alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")))
+    other = pieces.toDF("band", "cut2", "rows2", "lo2", "hi2")
+    return (pieces.join(other, "band").filter("cut <= cut2 and not (lo = hi and lo2 = hi2 and lo = lo2)")
+            .select("band", "rows", "rows2"))
+
+
+def _open_members(members: DataFrame, prints: DataFrame, matches: int, piece: int) -> DataFrame:
+    """Those of ``members(band, node, comp)`` whose sketch is like one of another component in the band."""
     per = members.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("nc"))
     per_band = per.groupBy("band").agg(F.sum("nc").alias("n"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
     # a large component has pieces of its own, so that pairs of such pieces need not meet
     cut = F.when(F.col("nc") > piece, F.xxhash64("comp", F.pmod(F.xxhash64("node"), F.ceil(F.col("nc") / piece))))
     cut = cut.otherwise(F.pmod(F.xxhash64("comp", F.lit(3)), F.ceil(F.col("n") / piece)))
-    pieces = stored(members.join(per.join(per_band, "band"), ["band", "comp"]).withColumn("cut", cut)
-                    .join(prints, "node").groupBy("band", "cut")
-                    .agg(F.collect_list(F.struct("node", "comp", "sketch")).alias("rows"),
-                         F.min("comp").alias("lo"), F.max("comp").alias("hi")))
-    other = pieces.toDF("band", "cut2", "rows2", "lo2", "hi2")
-    met = pieces.join(other, "band").filter("cut <= cut2 and not (lo = hi and lo2 = hi2 and lo = lo2)")
+    mixed = members.join(per.join(per_band, "band"), ["band", "comp"]).join(prints, "node")
+    met = _met_pieces(mixed, cut, ["node", "comp", "sketch"])
 
     def run(batches):
         for batch in batches:
+            bands = batch.column("band").to_pylist()
             for k in range(batch.num_rows):
                 (n1, c1, s1), (n2, c2, s2) = (_members(batch, k, name) for name in ("rows", "rows2"))
+                like = (_matches(s1, s2) >= matches) & (c1[:, None] != c2[None, :])
+                found = np.union1d(n1[like.any(axis=1)], n2[like.any(axis=0)])
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), bands[k])), pa.array(found)],
+                                                     names=["band", "node"])
+        release_memory()
+
+    found = met.mapInArrow(run, "band long, node long").distinct()
+    return found.join(members, ["band", "node"])
+
+
+def _cross_links(members: DataFrame, sets: DataFrame, prints: DataFrame, matches: int, percent: int, piece: int) -> DataFrame:
+    """``(a, b)``: verified links between the components of ``members(band, node, comp)``, a forest of them per task.
+
+    A pair that shares several bands is verified in the least of them.
+    """
+    open_ = stored(_open_members(members, prints, matches, piece))
+    sizes = open_.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    shared = open_.groupBy("node").agg(F.collect_list("band").alias("bands"))
+    rows = open_.join(sizes, "band").join(shared, "node").join(prints, "node").join(sets, "node")
+    met = _met_pieces(rows, F.pmod(F.xxhash64("node", F.lit(5)), F.ceil(F.col("n") / piece)),
+                      ["node", "comp", "sketch", "bands", "shingles"])
+
+    def run(batches):
+        forest = Forest()
+        for batch in batches:
+            at = batch.column("band").to_pylist()
+            for k in range(batch.num_rows):
+                sides = []
+                for name in ("rows", "rows2"):
+                    own = batch.column(name).slice(k, 1).flatten()
+                    sides.append((*_members(batch, k, name), [frozenset(b) for b in own.field("bands").to_pylist()],
+                                  own.field("shingles")))
+                (_, c1, s1, b1, t1), (_, c2, s2, b2, t2) = sides
                 p, q = np.nonzero((_matches(s1, s2) >= matches) & (c1[:, None] != c2[None, :]))
-                if len(p):
-                    yield _pairs_batch(n1[p], n2[q])
+                last, one = -1, None
+                for i, j in zip(p.tolist(), q.tolist()):
+                    x, y = int(c1[i]), int(c2[j])
+                    if forest.find(x) == forest.find(y) or min(b1[i] & b2[j]) != at[k]:
+                        continue
+                    if i != last:
+                        last, one = i, np.frombuffer(t1[i].as_py(), np.uint64)
+                    if _reaches(one, np.frombuffer(t2[j].as_py(), np.uint64), percent):
+                        forest.join(x, y)
+        edges = np.array([(x, r) for x in forest.up if (r := forest.find(x)) != x], np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
         release_memory()
 
-    return met.select("rows", "rows2").mapInArrow(run, "x long, y long").distinct()
+    return met.mapInArrow(run, "a long, b long")
 
 
 def near_links(shards: DataFrame, classes: DataFrame, percent: int = PERCENT, places: int = PLACES,
@@ -372,12 +427,8 @@ def near_links(shards: DataFrame, classes: DataFrame, percent: int = PERCENT, pl
     hot = named.filter(F.col("n") > hot_band).select("band", "node", "comp")
     other = met.filter(F.col("n") > hot_band).select("node", F.col("band").alias("band2"))
     twice = hot.join(other, "node").filter("band < band2").select(F.xxhash64("band", "band2").alias("band"), "node", "comp")
-    pairs = stored(_piece_pairs(usual.unionByName(twice), prints, least, piece))
-    more = stored(verified(pairs, sets, percent))
-    # late links join components: their roots are the nodes of a small graph of their own
-    label = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-    joined = (more.join(label, "a", "left").join(label.toDF("b", "rb"), "b", "left")
-              .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    # late links join components: these are the nodes of a small graph of their own
+    joined = stored(_cross_links(usual.unionByName(twice), sets, prints, least, percent, piece))
     late = components(joined).toDF("comp", "late")
     nodes = roots.select("node", F.col("root").alias("comp")).unionByName(
         late.select(F.col("comp").alias("node"), "comp").join(roots.select("node"), "node", "left_anti"))
