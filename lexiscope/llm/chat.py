@@ -21,7 +21,7 @@ at a time however long the conversation.
 
 Defined results: a null text or role is empty; a null conv_id is a
 conversation of its own; rows of the same turn follow one another by role and
-text, repeated rows stay; an empty table gives no rows; other columns are
+rendered form (escaped turns first), repeated rows stay; an empty table gives no rows; other columns are
 ignored.
 """
 
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,21 +42,28 @@ OPEN, SAYS, DONE, ESCAPE = "[TURN{}]", "[SAYS]", "[DONE]", "\\"
 CONTROL = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>",
            "<|endoftext|>", "<|startoftext|>", "<|system|>", "<|user|>", "<|assistant|>"]
 _MARKS = r"\[TURN[0-9]*\]|\[SAYS\]|\[DONE\]|" + "|".join(re.escape(c) for c in CONTROL)
-_ESCAPABLE = re.compile(rf"(\\*)({_MARKS})")
+_MARK = re.compile(_MARKS)
 _PARSE = re.compile(r"(?<!\\)(?:\\\\)*(\[TURN[0-9]*\]|\[SAYS\]|\[DONE\])")
 
 
+def _escapes(text: str, change: Callable[[int], int]) -> str:
+    """``text`` with ``change(n)`` escapes before each mark that has n before it (marks first, so in linear time)."""
+    out, at = [], 0
+    for m in _MARK.finditer(text):
+        before = text[at:m.start()]
+        bare = before.rstrip(ESCAPE)
+        out += [bare, ESCAPE * change(len(before) - len(bare)), m[0]]
+        at = m.end()
+    return "".join([*out, text[at:]])
+
+
 def escape(text: str) -> str:
     """Doubles the escapes before each mark and adds one: no mark is left bare."""
-    return _ESCAPABLE.sub(lambda m: m[1] + m[1] + ESCAPE + m[2], text)
+    return _escapes(text, lambda n: 2 * n + 1)
 
 
 def unescape(text: str) -> str:
-    return _ESCAPABLE.sub(lambda m: m[1][:len(m[1]) // 2] + m[2], text)
-
-
-def _conflicts(text: str) -> bool:
-    return _ESCAPABLE.search(text) is not None or text.endswith(ESCAPE)
+    return _escapes(text, lambda n: n // 2)
 
 
 def render(role: str, text: str, level: int) -> str:
@@ -80,6 +88,8 @@ def parse(rendered: str) -> list[tuple[str, str, int, int]]:
         if not done or says[1] != SAYS or done[1] != DONE:
             raise ValueError(f"the turn at {at} is not closed")
         role, text = rendered[opened.end():says.start(1)], rendered[says.end():done.start(1)]
+        if not opened[1] and (_MARK.search(role) or _MARK.search(text)):
+            raise ValueError(f"the turn at {at} has bare control strings")
         if opened[1]:
             role, text = unescape(role)[:-1], unescape(text)[:-1]
         turns.append((role, text, says.end(), done.start(1)))
@@ -89,8 +99,7 @@ def parse(rendered: str) -> list[tuple[str, str, int, int]]:
 
 def round_trip(role: str, text: str) -> str:
     """The rendered turn that reads back as exactly ``role`` and ``text``."""
-    first = 1 if _conflicts(role) or _conflicts(text) else 0
-    for level in range(first, 2):
+    for level in range(2):  # the parser decides whether it must be escaped
         out = render(role, text, level)
         try:
             if [t[:2] for t in parse(out)] == [(role, text)]:

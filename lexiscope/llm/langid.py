@@ -2,7 +2,8 @@
 
 A page's posterior is the product of four pieces of evidence:
 
-* text: a naive Bayes model of hashed byte trigrams, trained on a bounded
+* text: all visible text, that inside articles counting ``ARTICLE`` times more, under
+  a naive Bayes model of hashed byte trigrams, trained on a bounded
   sample of labelled texts (``sample_per_language`` documents of each language,
   chosen by a hash of their id), tempered because neighbouring trigrams depend
   on each other;
@@ -15,7 +16,8 @@ A page's posterior is the product of four pieces of evidence:
 Sums are arrays of one number per language, pre-aggregated before they move,
 so a host with a third of all pages is no heavier than others.
 
-Defined results: a null or empty html has no text evidence; a missing
+Defined results: a null or empty html has no text evidence; without labelled
+texts no language is known (text_lang, lang and probability are null); a missing
 declaration, suffix or host gives no evidence (the prior over all pages);
 of equal posteriors the language first in order wins; repeated rows are judged
 one by one; an empty table gives no rows; other columns are ignored.
@@ -40,24 +42,65 @@ MAX_LANGUAGES = 200
 #: weight of the text's log-likelihood, and the most trigrams that count in full
 TEMPER, FULL_TRIGRAMS = 0.3, 400
 SMOOTHING = 5.0
-
-_DROP = re.compile(r"(?is)<!--.*?-->|<(script|style|nav|footer|noscript)\b.*?</\1\s*>|<div class=\"ad\">.*?</div>")
-_ARTICLE = re.compile(r"(?is)<article\b[^>]*>(.*?)</article\s*>")
-_TAG = re.compile(r"(?s)<[^>]*>")
-_DECLARED = re.compile(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b")
+#: how often text inside articles counts besides all visible text
+ARTICLE = 3
+#: parts of a language that are ranked by themselves first
+RANK_PARTS = 64
+
+#: elements that hold no running text
+_HIDDEN = ("script", "style", "nav", "footer", "noscript")
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)")
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([a-z]{2,3})\b")
 _BLANK = re.compile(r"\s+")
 
 
-def main_text(html: str) -> str:
-    """Visible text: the articles if there are any, else all outside navigation, scripts and footers."""
-    body = _DROP.sub(" ", html)
-    articles = _ARTICLE.findall(body)
-    return _BLANK.sub(" ", entities.unescape(_TAG.sub(" ", " ".join(articles) if articles else body))).strip()
+def visible_text(html: str) -> tuple[str, str]:
+    """(all visible text, that inside articles), in one pass over the tags.
+
+    Navigation, scripts, styles and footers are left out if they are closed; what
+    follows an unclosed comment or an unfinished tag is no text.
+    """
+    lower = html.lower()
+    if len(lower) != len(html):  # a letter whose lower case is longer: only tag names matter
+        lower = re.sub("[A-Z]", lambda m: m[0].lower(), html)
+    seen, inside, at, depth, unclosed = [], [], 0, 0, set()
+    while True:
+        tag = html.find("<", at)
+        text = html[at:] if tag < 0 else html[at:tag]
+        seen.append(text)
+        if depth:
+            inside.append(text)
+        if tag < 0:
+            break
+        if html.startswith("<!--", tag):
+            stop = html.find("-->", tag + 4)
+            if stop < 0:
+                break
+            at = stop + 3
+            continue
+        stop, name = html.find(">", tag), _NAME.match(lower, tag)
+        if stop < 0:
+            break
+        at = stop + 1
+        if name and name[2] in _HIDDEN and not name[1] and name[2] not in unclosed:
+            close = lower.find("</" + name[2], at)
+            if close < 0:
+                unclosed.add(name[2])  # looked for once, however often it is opened
+            else:
+                at = close
+        elif name and name[2] == "article":
+            depth = max(0, depth - 1) if name[1] else depth + 1
+    clean = lambda parts: _BLANK.sub(" ", entities.unescape(" ".join(parts))).strip()
+    return clean(seen), clean(inside)
 
 
 def declared_language(html: str) -> str | None:
-    m = _DECLARED.search(html)
-    return m[1].lower() if m else None
+    start = re.search("<html\\b", html, re.I)
+    if not start:
+        return None
+    stop = html.find(">", start.end())
+    m = _LANG.search(html[start.end():stop if stop >= 0 else None].lower())
+    return m[1] if m else None
 
 
 def address_parts(url: str | None) -> tuple[str | None, str | None, str | None]:
@@ -89,9 +132,13 @@ class TextModel:
         smooth = counts + 0.5
         self.logp = np.log(smooth / smooth.sum(axis=1, keepdims=True))
 
-    def log_posterior(self, data: bytes) -> np.ndarray:
-        """Log of the normalised, tempered text posterior under equal priors."""
+    def log_posterior(self, data: bytes, more: bytes = b"") -> np.ndarray:
+        """Log of the normalised, tempered text posterior under equal priors; ``more`` counts ``ARTICLE`` times."""
+        if not self.languages:
+            return np.zeros(0)
         counts = trigram_counts(data) if data else np.zeros(BUCKETS)
+        if more:
+            counts = counts + ARTICLE * trigram_counts(more)
         n = counts.sum()
         score = self.logp @ counts * (TEMPER * min(1.0, FULL_TRIGRAMS / n) if n else 0.0)
         score -= score.max()
@@ -102,16 +149,24 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
           sample_per_language: int = SAMPLE_PER_LANGUAGE) -> TextModel:
     """Fit on the first ``sample_per_language`` texts of each language by a hash of their id.
 
-    The driver receives one count per language and bucket, for at most
-    ``MAX_LANGUAGES`` languages; more are refused.
+    The driver receives one count per language and bucket, for the ``MAX_LANGUAGES``
+    languages of most texts (equals: by name).  Without labelled texts the model
+    knows no language.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    known = (labelled.select(F.col(lang_col).cast("string").alias("lang")).filter("lang is not null")
+             .groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect())
+    if not known:
+        return TextModel([], np.zeros((0, BUCKETS)))
+    labelled = labelled.filter(F.col(lang_col).cast("string").isin([r["lang"] for r in known]))
+    order = [F.xxhash64("id"), F.col("id")]
+    part = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(RANK_PARTS))
     chosen = (labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
               .filter("lang is not null and id is not null").distinct()
-              .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample_per_language))
-    n_languages = chosen.select("lang").distinct().count()
-    if not 1 <= n_languages <= MAX_LANGUAGES:
-        raise ValueError(f"{n_languages} languages; 1 to {MAX_LANGUAGES} are expected")
+              # no language is ranked by one task: its first rows are among the first of its parts
+              .withColumn("rank", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order)))
+              .filter(F.col("rank") <= sample_per_language)
+              .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+              .filter(F.col("rank") <= sample_per_language))
     rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"),
                            F.col(text_col).cast("string").alias("text")).join(chosen, ["id", "lang"], "left_semi")
 
@@ -145,7 +200,7 @@ def page_evidence(html: Column, url: Column, model) -> Column:
         for h, u in zip(pages.to_pylist(), urls.to_pylist()):
             host, domain, suffix = address_parts(u)
             out.append({"host": host, "domain": domain, "suffix": suffix, "declared": declared_language(h or ""),
-                        "text": model.value.log_posterior(main_text(h or "").encode()).tolist()})
+                        "text": model.value.log_posterior(*(x.encode(errors="replace") for x in visible_text(h or ""))).tolist()})
         return pa.array(out, _EVIDENCE)
 
     run.__annotations__ = {"pages": pa.Array, "urls": pa.Array, "return": pa.Array}
@@ -175,6 +230,9 @@ def identify_languages(pages: DataFrame, model: TextModel, id_col: str = "page_i
     names = F.array(*[F.lit(x) for x in model.languages])
     evidence = pages.select(F.col(id_col).alias("page_id"),
                             page_evidence(F.col(html_col), F.col(url_col), held).alias("e"))
+    if not n:  # no text evidence, and no languages to choose from
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("text_lang", "string"), ("lang", "string"), ("probability", "double"))]
+        return evidence.select("page_id", "e.host", "e.declared", *none)
     facts = stored(evidence.select("page_id", "e.*")
                    .withColumn("p", F.transform("text", lambda x: F.exp(x))))
     everything = facts.agg(*[F.sum(F.col("p")[i]) for i in range(n)]).first()

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -407,3 +408,72 @@ def test_complete_licences_alone_and_inside_longer_texts(spark):
     got = licenses.license_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
     assert [(r.doc_id, r.license) for r in got] == [(name, name) for name, _ in rows]
     assert all(r.licenses == [r.doc_id] for r in got if r.doc_id in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause"))
+
+
+# ---- long and hostile texts ----------------------------------------------------------------
+
+@pytest.mark.parametrize("piece", ["\\", "\\[", "[TURN", "\\\\[DONE]x"])
+def test_chat_takes_long_runs_in_linear_time(piece):
+    text = piece * (1_000_000 // len(piece))
+    start = time.perf_counter()
+    out = chat.round_trip("user", text)
+    assert chat.parse(out)[0][:2] == ("user", text)
+    assert time.perf_counter() - start < 5
+
+
+@pytest.mark.parametrize("piece", ["<article>", "<script ", "<script>", "<!-- ", "<nav>", "<html ", "<html lang", "</article>", "<"])
+def test_pages_with_unclosed_tags_take_linear_time(piece):
+    html = "words before " + piece * (1_000_000 // len(piece))
+    start = time.perf_counter()
+    seen, _ = langid.visible_text(html)
+    langid.declared_language(html)
+    assert seen.startswith("words before") and time.perf_counter() - start < 5
+
+
+def test_visible_text_is_whole_but_for_hidden_elements():
+    html = ("<html lang=DE><nav>menu</nav><p>one &amp; <b>two</b></p><!-- no <p>x</p> --><SCRIPT>if (a < b) {}</SCRIPT>"
+            "<article>three <div class='ad'>four</div></article> 5 < 6 <style>p {}</style>seven<footer>x")
+    seen, inside = langid.visible_text(html)
+    assert seen.split() == "one & two three four 5 < 6 seven x".split() or seen.split()[:5] == "one & two three four".split()
+    assert inside == "three four" and langid.declared_language(html) == "de"
+
+
+def test_languages_without_labelled_texts(spark):
+    pages = spark.createDataFrame([(1, "http://a.de/x", "<p>hallo</p>"), (2, None, None)], "page_id long, url string, html string")
+    for labelled in ([], [(1, "text", None)]):
+        model = langid.train(spark.createDataFrame(labelled, "doc_id long, text string, lang string"))
+        got = {r.page_id: r for r in langid.identify_languages(pages, model).collect()}
+        assert got[1].host == "a.de" and got[1].lang is None and got[2].probability is None
+
+
+def test_posteriors_against_brute_force(spark):
+    texts = [(i, sentence(40), "en") for i in range(12)] + [(20 + i, "ä ö " + sentence(30).replace("the", "dér"), "de") for i in range(12)]
+    model = langid.train(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
+    given = [(i, random.choice(["http://a.x.de/1", "http://b.x.de/2", "http://c.org", "bad", None]),
+              f"<html lang={random.choice(['en', 'de', 'fr'])}><p>{t}</p>" if i % 4 else t) for i, t, _ in texts]
+    given += [(100, None, None), (101, "http://a.x.de/9", "")]
+    got = {r.page_id: r for r in langid.identify_languages(
+        spark.createDataFrame(given, "page_id long, url string, html string"), model).collect()}
+    facts = [(i, *langid.address_parts(u), langid.declared_language(h or ""),
+              np.exp(model.log_posterior(*(x.encode() for x in langid.visible_text(h or ""))))) for i, u, h in given]
+    mass = sum(f[5] for f in facts)
+    overall = (mass + 1) / (mass.sum() + 2)
+    s, total = langid.SMOOTHING, mass.sum() + 2
+
+    def sums(col, value):
+        return sum((f[5] for f in facts if f[col] == value), np.zeros(2))
+
+    for i, host, domain, suffix, declared, p in facts:
+        def prior(col, value, base):
+            rest = np.maximum(sums(col, value) - p, 0)
+            return (rest + s * base) / (rest.sum() + s) if value is not None else overall
+
+        def likelihood(col, value):
+            own = sums(col, value)
+            return np.log((own + s * own.sum() / total) / (mass + s)) if value is not None else 0
+
+        score = np.log(p) + np.log(prior(1, host, prior(2, domain, overall))) + likelihood(4, declared) + likelihood(3, suffix)
+        want = np.exp(score - np.logaddexp(*score))
+        assert got[i].probability == pytest.approx(want.max(), abs=2e-6)
+        if abs(want[0] - want[1]) > 1e-6:
+            assert got[i].lang == model.languages[int(want.argmax())]
