@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiscope.functions.text import TOKEN_PATTERN
 from lexiscope.operators.judgments import contains_judgments
 from lexiscope.operators.ranking import (
     mean_precision, precision_at, rank_docs, ranked_hits, relevant,
@@ -21,7 +22,7 @@ from lexiscope.operators.tokens import by_text, remove_stopwords, term_counts, t
 from lexiscope.operators.util import checkpointed
 from lexiscope.operators.weights import doc_count, fit_idf, tfidf
 from lexiscope.plans import tables
-from lexiscope.sources.store import load_vectors, save_vectors
+from lexiscope.sources.store import corpus_digest, publish, published, settings_digest
 
 NS = (1, 3, 5, 10)
 
@@ -39,8 +40,8 @@ class WordIndex:
     The term counts feed the idf, the weights and the judgments: they are
     written once to the shared folder when first asked for (``materialize``),
     which also cuts the lineage.  Everything else is a lazy plan over them.
-    With ``store`` the counts are kept under that path and read back by later
-    runs (``vector_path`` names one per corpus).
+    With ``store`` the counts are published under that path and read back by later
+    runs over the same corpus with the same settings (``store_key``).
     """
 
     def __init__(self, docs: DataFrame, queries: DataFrame, vocabulary: str = "learned", doc_col: str = "doc_id",
@@ -57,15 +58,24 @@ class WordIndex:
     def _counts(self) -> DataFrame:
         return term_counts(self._listed(tokenize(by_text(self.docs, self.doc_col), self.doc_col)), self.doc_col)
 
+    def store_key(self) -> str:
+        """Names what the stored counts were made from: corpus, token pattern and stop words."""
+        words = self.stopwords
+        if isinstance(words, DataFrame):
+            listed = corpus_digest(words, words.columns[0])
+        else:
+            listed = None if words is None else sorted({str(w).lower() for w in words})
+        return settings_digest(corpus=corpus_digest(self.docs, self.doc_col, "text"), id=self.doc_col, tokens=TOKEN_PATTERN,
+                               stopwords=listed)
+
     @cached_property
     def doc_counts(self) -> DataFrame:
         if self.base is not None:  # words leave a bag by their rows: nothing is tokenised again
             return self._listed(self.base.doc_counts)
         if self.store is not None:
-            path, spark = f"{self.store}/counts", self.docs.sparkSession
-            if load_vectors(spark, path) is None:
-                save_vectors(self._counts(), path)
-            return load_vectors(spark, path)
+            path, key = f"{self.store}/counts", self.store_key()
+            found = published(self.docs.sparkSession, path, key)
+            return publish(self._counts(), path, key) if found is None else found
         return checkpointed(self._counts()) if self.materialize else self._counts()
 
     @cached_property

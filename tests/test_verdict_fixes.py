@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from lexiscope.operators.cluster import cluster_labels, nmf
@@ -31,7 +33,7 @@ def test_signed_scores_keep_their_order(spark):
 
 def test_empty_documents_get_cluster_zero(spark):
     x = spark.createDataFrame([(0, "a", 1.0), (2, "b", 1.0), (2, "a", 0.5)], "doc_id long, term string, weight double")
-    w, _ = nmf(x, 2, max_iter=3, rows=spark.range(4).withColumnRenamed("id", "doc_id"))
+    w, _ = nmf(x, 2, tol=0.1, rows=spark.range(4).withColumnRenamed("id", "doc_id"))
     labels = {r.doc_id: r.cluster for r in cluster_labels(w).collect()}
     assert set(labels) == {0, 1, 2, 3} and labels[1] == labels[3] == 0
 
@@ -106,17 +108,66 @@ def test_an_outlying_key_does_not_fill_one_range(spark):
     assert pos.filter("pos <> least(id, 20000)").count() == 0 and pos.count() == 20_001
 
 
-def test_stored_counts_are_read_back(spark, tmpdir_path):
+def test_stored_counts_are_read_back_only_for_their_corpus_and_settings(spark, tmpdir_path):
     from lexiscope.plans.retrieval import word_index
-    from lexiscope.sources.store import vector_path
 
-    docs = spark.createDataFrame([(0, "red car"), (1, "blue car")], "doc_id long, text string")
+    docs = spark.createDataFrame([(0, "red the car"), (1, "blue the car")], "doc_id long, text string")
     queries = spark.createDataFrame([(7, "red")], "query_id long, query_text string")
-    path = vector_path(tmpdir_path, "words", "two-docs")
-    first = word_index(docs, queries, store=path).doc_vectors.orderBy("doc_id", "term").collect()
-    written = os.stat(f"{path}/counts/_SUCCESS").st_mtime_ns
-    assert word_index(docs, queries, store=path).doc_vectors.orderBy("doc_id", "term").collect() == first
-    assert os.stat(f"{path}/counts/_SUCCESS").st_mtime_ns == written
+
+    def terms(given, **options):
+        ix = word_index(given, queries, store=tmpdir_path, **options)
+        return sorted((r.doc_id, r.term, r.cnt if "cnt" in r else r[2]) for r in ix.doc_counts.collect())
+
+    without = terms(docs, stopwords=["the"])
+    folders = set(os.listdir(f"{tmpdir_path}/counts/data"))
+    assert {t for _, t, _ in without} == {"red", "blue", "car"}
+    assert terms(docs.repartition(3), stopwords=["The", "the"]) == without  # the same rows and words: read back
+    assert set(os.listdir(f"{tmpdir_path}/counts/data")) == folders
+    assert {t for _, t, _ in terms(docs)} == {"red", "blue", "car", "the"}
+    other = spark.createDataFrame([(0, "green tree"), (1, None)], "doc_id long, text string")
+    assert {t for _, t, _ in terms(other)} == {"green", "tree"}
+    listed = spark.createDataFrame([("car",)], "w string")
+    assert {t for _, t, _ in terms(docs, stopwords=listed)} == {"red", "blue", "the"}
+
+
+def test_an_interrupted_publication_is_made_anew(spark, tmpdir_path):
+    from lexiscope.sources.store import corpus_digest, load_vectors, publish, published
+
+    rows = spark.range(5)
+    os.makedirs(f"{tmpdir_path}/manifest/k")  # a manifest that was begun, rows without one
+    os.makedirs(f"{tmpdir_path}/data/left")
+    os.makedirs(f"{tmpdir_path}/half/_temporary")
+    assert published(spark, tmpdir_path, "k") is None and load_vectors(spark, f"{tmpdir_path}/half") is None
+    publish(rows, tmpdir_path, "k")
+    publish(rows.limit(0), tmpdir_path, "none")
+    assert published(spark, tmpdir_path, "k").count() == 5 and published(spark, tmpdir_path, "none").count() == 0
+    assert published(spark, tmpdir_path, "other") is None
+    a = spark.createDataFrame([(1, "a"), (2, None)], "x int, y string")
+    b = spark.createDataFrame([(2, ""), (1, "a")], "x int, y string")
+    assert corpus_digest(a) == corpus_digest(a.repartition(3)) != corpus_digest(b)
+    assert corpus_digest(a.union(a)) != corpus_digest(a)
+
+
+def test_stopped_shard_writes_go_on_and_give_each_row_once(spark, tmpdir_path):
+    from lexiscope.sources.store import load_published_shards, write_shards_resumable
+
+    rows, made = spark.range(50).withColumnRenamed("id", "doc_id"), []
+
+    def make(part):
+        made.append(part)
+        if len(made) == 4:
+            raise KeyboardInterrupt
+        return part.withColumn("act", part.doc_id * 2)
+
+    with pytest.raises(KeyboardInterrupt):
+        write_shards_resumable(rows, tmpdir_path, "doc_id", make, parts=6, rows_per_file=3)
+    assert 0 < load_published_shards(spark, tmpdir_path).count() < 50
+    assert write_shards_resumable(rows.repartition(4), tmpdir_path, "doc_id", make, parts=6) == 3
+    got = load_published_shards(spark, tmpdir_path).collect()
+    assert sorted((r.doc_id, r.act) for r in got) == [(i, 2 * i) for i in range(50)]
+    assert write_shards_resumable(rows, tmpdir_path, "doc_id", make, parts=6) == 0
+    with pytest.raises(ValueError, match="other rows"):
+        write_shards_resumable(spark.range(3).withColumnRenamed("id", "doc_id"), tmpdir_path, "doc_id", make, parts=6)
 
 
 def test_reports_have_the_shape_of_a_map(spark, tmpdir_path):
