@@ -47,8 +47,8 @@ LENGTH = 100
 SHARD_BYTES = 8 << 20
 ANCHOR_SLICE = 256 << 10
 BUCKET_ANCHORS = 400_000
-MERGE_BYTES = 4 << 20
-HOT_BYTES = 4 << 20
+MERGE_BYTES = 2 << 20
+HOT_BYTES = 2 << 20
 LAST = np.iinfo(np.int64).max
 
 UNIQUE, REPEATED, OPEN = 0, 1, 2
