@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lexiscope.plans import (  # noqa: F401
-    catalog_clusters, catalog_concepts, catalog_methods, catalog_pairs, catalog_words,
+    catalog_clusters, catalog_concepts, catalog_methods, catalog_pairs, catalog_sources, catalog_words,
 )
 from lexiscope.plans.registry import ORACLES, QUERIES
 
