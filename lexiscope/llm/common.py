@@ -98,6 +98,14 @@ def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     return rows
 
 
+def discard(rows: DataFrame) -> None:
+    """Delete the files of a written table that nothing reads any more."""
+    from lexiscope.session import _delete
+
+    for folder in {f.rsplit("/", 1)[0] for f in rows.inputFiles()}:
+        _delete(rows.sparkSession, folder)
+
+
 def release_memory() -> None:
     """Give freed memory back to the machine: Python workers outlive their tasks."""
     pa.default_memory_pool().release_unused()

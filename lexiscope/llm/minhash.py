@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscope.llm.common import SLICE_BYTES, release_memory, slices, small_batches, stored, table
+from lexiscope.llm.common import SLICE_BYTES, discard, release_memory, slices, small_batches, stored, table
 from lexiscope.llm.simhash import LOWER, Forest, components
 from lexiscope.llm.suffix_dedup import SHARD_BYTES, shard_table, unsqueeze
 from lexiscope.llm.words import chained, mix, word_hashes
@@ -407,7 +407,7 @@ def _cross_links(members: DataFrame, sets: DataFrame, prints: DataFrame, matches
 
 def near_links(shards: DataFrame, classes: DataFrame, percent: int = PERCENT, places: int = PLACES,
                width: int = SHINGLE_WORDS, piece: int = PIECE, hot_band: int = HOT_BAND) -> DataFrame:
-    """``(node, root)`` of every class that is linked with another one."""
+    """``(node, root)`` of every class that is linked with another one; ``shards`` is deleted once it has been read."""
     member = classes.filter("bands is not null").select("node", F.explode("bands").alias("band"))
     groups = (member.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("p"),
                                          F.bit_xor(F.xxhash64("node", F.lit(1))).alias("q")).filter("n > 1"))
@@ -416,6 +416,7 @@ def near_links(shards: DataFrame, classes: DataFrame, percent: int = PERCENT, pl
     met = stored(member.join(groups.select("band", "n", "weight"), "band"))
     wanted = met.select("node").distinct()
     sets = stored(class_sets(shards, classes.select("node", "shard_id", "doc").join(wanted, "node"), width))
+    discard(shards)  # from here on only written tables are read
     prints, least = classes.select("node", "sketch"), least_matches(percent / 100, RECALL, places)
     links = stored(verified(stored(_forest_pairs(met, prints, least, piece)), sets, percent))
     roots = stored(components(links))
