@@ -35,6 +35,20 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Write ``df`` once to the shared folder in buckets of ``key``: joins and groups on it leave these rows in place."""
+    import uuid
+
+    from lexiscope.session import scratch_path
+
+    spark, name = df.sparkSession, f"lexiscope_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", scratch_path(spark, name)).saveAsTable(name)
+    rows = spark.table(name)
+    rows.schema  # resolved here: the plan keeps the files and buckets
+    spark.sql(f"DROP TABLE {name}")  # the entry goes; the files of a table with a path stay
+    return rows
+
+
 def set_materialize_mode(mode: str) -> None:
     if mode not in ("parquet", "checkpoint"):
         raise ValueError(mode)
