@@ -7,10 +7,11 @@ is compared with the reference of its declared language by the Jensen-Shannon
 distance (base 2, so 0..1) of each histogram; short documents are guarded,
 because their histograms are noise.
 
-A distance is too far beyond Q3 + ``FENCES`` x (Q3 - Q1) of the distances of
-all documents of the language (rounded to 4 decimals, so the counts behind the
-quartiles are bounded), and beyond the fixed limits in any case.  Languages
-with fewer than ``FENCE_DOCUMENTS`` distances have the fixed limits only.
+A fence is Q3 + ``FENCES`` x (Q3 - Q1) of distances (rounded to 4 decimals, so the
+counts behind the quartiles are bounded), at most the fixed limit.  The limit of a
+language weighs three by one rule for every size: its own fence by its ``n`` distances,
+and the corpus's limit by ``PRIOR_DOCUMENTS``; the corpus's limit weighs the fence of
+all distances and the fixed limit in the same way.
 
 Defined results: a null text is an empty text; null languages form a group of
 their own; an empty table gives no rows; repeated rows are judged one by one;
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import json
 from collections import Counter
+from collections.abc import Callable
 from itertools import islice
 
 import numpy as np
@@ -37,9 +39,10 @@ N_CLASSES = 8
 #: the marks that have a bin each
 MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 #: interquartile ranges above the third quartile that a distance may lie; word histograms of clean texts spread widely
-#: with their length, the other two hardly
-FENCES = {"char_distance": 20.0, "word_distance": 3.0, "mark_distance": 20.0}
-FENCE_DOCUMENTS, LEAST_SPREAD = 200, 0.001
+#: with their length, the other two hardly (chosen on labelled documents of even doc_id, judged on the odd ones)
+FENCES = {"char_distance": 20.0, "word_distance": 3.0, "mark_distance": 15.0}
+#: weight, in documents, of the wider limit against a group's own fence; least distance between the quartiles
+PRIOR_DOCUMENTS, LEAST_SPREAD = 20, 0.001
 
 
 def _classes() -> np.ndarray:
@@ -266,10 +269,20 @@ def with_verdict(docs: DataFrame, name: str, text_col: str = "text", lang_col: s
     def fence(distance: str) -> Column:
         quartiles = F.percentile(F.round(m[distance], 4), [0.25, 0.75])
         spread = F.greatest(quartiles[1] - quartiles[0], F.lit(LEAST_SPREAD))
-        found = F.when(F.count(m[distance]) >= FENCE_DOCUMENTS, quartiles[1] + FENCES[distance] * spread)
-        return F.least(found, F.lit(float(fixed[distance]))).alias(distance)
+        found = F.least(quartiles[1] + FENCES[distance] * spread, F.lit(float(fixed[distance])))
+        return F.struct(F.count(m[distance]).alias("n"), found.alias("fence")).alias(distance)
 
-    fences = stored(measured.groupBy(F.col(key).alias(lang)).agg(F.struct(*map(fence, fixed)).alias(f"{name}_max")))
+    def limit(own: Column, wider: Column) -> Column:
+        return (F.coalesce(own["n"] * own["fence"], F.lit(0.0)) + PRIOR_DOCUMENTS * wider) / (own["n"] + PRIOR_DOCUMENTS)
+
+    def limits_of(group: str, wider: Callable[[str], Column]) -> Column:
+        return F.struct(*[limit(F.col(group)[d], wider(d)).alias(d) for d in fixed])
+
+    corpus = stored(measured.agg(F.struct(*map(fence, fixed)).alias("all")).select(
+        limits_of("all", lambda d: F.lit(float(fixed[d]))).alias("limits")))
+    fences = stored(measured.groupBy(F.col(key).alias(lang)).agg(F.struct(*map(fence, fixed)).alias("own"))
+                    .withColumn("corpus", corpus.scalar())
+                    .select(lang, limits_of("own", lambda d: F.col("corpus")[d]).alias(f"{name}_max")))
     judged = measured.join(fences, F.col(key).eqNullSafe(F.col(lang)), "left")
     kept = ~m["base_failed"]
     for distance in fixed:

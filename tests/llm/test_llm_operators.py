@@ -131,6 +131,53 @@ def test_limits_follow_the_distances_of_the_language(spark):
     assert sum(got[i].kept for i, *_ in clean) >= 396
 
 
+def test_limits_and_verdicts_against_brute_force(spark):
+    """Distances, quartiles and verdicts recomputed; languages of 1, 30 and 300 documents follow one rule."""
+    texts = [("und", None)] + [("en", sentence(random.randint(60, 160))) for _ in range(300)]
+    texts += [("de", sentence(random.randint(60, 160)).upper()) for _ in range(30)] + [(None, sentence(90) + " !?" * 40)]
+    texts += [("en", " | ".join(sentence(120).split())) for _ in range(9)] + [("de", "short")]
+    rows = [(i, t, lang) for i, (lang, t) in enumerate(texts)]
+    got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    data = {i: (t or "").encode() for i, t, _ in rows}
+    folded = {i: re.findall(rb"[a-z0-9\x80-\xff]+", b.lower()) for i, b in data.items()}
+    distances = {}
+    for lang in {x for *_, x in rows}:
+        own = [i for i, _, x in rows if x == lang]
+        counts = Counter(w for i in own for w in folded[i])
+        common = sorted(counts, key=lambda w: (-counts[w], w))[:64]
+        base = np.array([*[counts[w] for w in common], sum(counts.values()) - sum(counts[w] for w in common)], float)
+        chars, marks = (sum(f(data[i]) for i in own) for f in (quality.class_counts, quality.mark_counts))
+        for i in own:
+            have = [folded[i].count(w) for w in common]
+            long = quality.class_counts(data[i]).sum() >= 200
+            distances[i] = {
+                "char_distance": quality.js_distance(quality.class_counts(data[i]), chars) if long else None,
+                "mark_distance": quality.js_distance(quality.mark_counts(data[i]), marks) if long else None,
+                "word_distance": quality.js_distance(np.array([*have, len(folded[i]) - sum(have)], float), base)
+                if len(folded[i]) >= 50 and common else None}
+    fixed = {"char_distance": 0.30, "word_distance": 0.50, "mark_distance": 1.0}
+
+    def limit(d, ids, wider):
+        x = [round(distances[i][d], 4) for i in ids if distances[i][d] is not None]
+        if not x:
+            return wider
+        a, b = np.percentile(x, [25, 75])
+        fence = min(b + quality.FENCES[d] * max(b - a, quality.LEAST_SPREAD), fixed[d])
+        return (len(x) * fence + quality.PRIOR_DOCUMENTS * wider) / (len(x) + quality.PRIOR_DOCUMENTS)
+
+    for i, _, lang in rows:
+        kept = not got[i].base_failed
+        for d in fixed:
+            assert (got[i][d] is None) == (distances[i][d] is None)
+            if distances[i][d] is not None:
+                assert got[i][d] == pytest.approx(distances[i][d], abs=1e-12)
+                most = limit(d, [j for j, _, x in rows if x == lang], limit(d, list(distances), fixed[d]))
+                assert abs(most - distances[i][d]) > 1e-9
+                kept &= distances[i][d] <= most
+        assert got[i].kept == kept
+    assert not any(got[i].kept for i, t, _ in rows if t and " | " in t)
+
+
 # ---- SimHash ------------------------------------------------------------------------
 
 def test_simhash_against_all_pairs(docs):
