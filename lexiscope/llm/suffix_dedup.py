@@ -45,6 +45,8 @@ from lexiscope.llm.common import bucketed, ragged_arange, release_memory, slices
 
 LENGTH = 100
 SHARD_BYTES = 8 << 20
+#: open text whose suffixes are sorted at once (or one region): sorting takes about 40 times that
+OPEN_BYTES = 4 << 20
 ANCHOR_SLICE = 256 << 10
 BUCKET_ANCHORS = 400_000
 MERGE_BYTES = 2 << 20
@@ -56,10 +58,10 @@ UNIQUE, REPEATED, OPEN = 0, 1, 2
 
 # ---- numpy: suffix arrays -----------------------------------------------------------
 
-def words_at(data: np.ndarray) -> np.ndarray:
-    """The eight bytes from each position, big-endian (zeros past the end)."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    return np.ndarray((len(data),), ">u8", padded, strides=(1,)).astype(np.uint64)
+def words_at(data: np.ndarray, past: int = 0) -> np.ndarray:
+    """The eight bytes from each position and ``past`` more, big-endian (zeros past the end)."""
+    padded = np.concatenate([data, np.zeros(8 + past, np.uint8)])
+    return np.ndarray((len(data) + past,), ">u8", padded, strides=(1,)).astype(np.uint64)
 
 
 def suffix_array(data: np.ndarray) -> np.ndarray:
@@ -67,33 +69,45 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
 
     Sorted by eight bytes first; then groups of equals are sorted by the group
     numbers found 8, 16, 32 ... bytes on, sorted positions being left alone.
+    Texts are under 2 GB, so positions take four bytes.
     """
     n = len(data)
     key = words_at(data)
-    order = np.argsort(key[::-1], kind="stable")
-    order = n - 1 - order  # of equal bytes the later position first: the shorter one, if zeros stand past the end
-    slot = np.arange(n)
+    order = np.argsort(key[::-1], kind="stable").astype(np.int32)
+    np.subtract(n - 1, order, out=order)  # of equal bytes the later position first: the shorter one, if zeros stand past the end
 
-    def starts(sorted_key: np.ndarray, slots: np.ndarray, short: np.ndarray | bool = False) -> np.ndarray:
-        new = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]) | short
-        return np.maximum.accumulate(np.where(new, slots, 0))
+    def starts(new: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        first = np.where(new, slots, np.int32(0))
+        return np.maximum.accumulate(first, out=first)
 
-    group = np.empty(n + 1, np.int64)
+    def changes(sorted_key: np.ndarray) -> np.ndarray:
+        new = np.ones(len(sorted_key), bool)
+        np.not_equal(sorted_key[1:], sorted_key[:-1], out=new[1:])
+        return new
+
+    group = np.empty(n + 1, np.int32)
     group[n] = -1  # past the end
     if n:
-        after_short = np.concatenate([[False], order[:-1] > n - 8])  # suffixes under eight bytes equal no other
-        group[order] = starts(key[order], slot, after_short)
+        new = changes(key[order])
+        del key
+        new[1:] |= order[:-1] > n - 8  # suffixes under eight bytes equal no other
+        group[order] = starts(new, np.arange(n, dtype=np.int32))
     h = 8
     while n:
-        size = np.bincount(group[:n], minlength=n)
-        todo = np.flatnonzero(size[group[order]] > 1)
+        alone = changes(group[order])  # groups lie together: alone is what differs from both neighbours
+        alone[:-1] &= alone[1:]
+        todo = np.flatnonzero(~alone).astype(np.int32)
         if not len(todo):
             break
         at = order[todo]
-        key = (group[at].astype(np.uint64) << np.uint64(32)) | (group[np.minimum(at + h, n)] + 1).astype(np.uint64)
+        key = group[at].astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= (group[np.minimum(at.astype(np.int64) + h, n)] + 1).astype(np.uint64)
         o = np.argsort(key, kind="stable")
-        order[todo] = at[o]
-        group[at[o]] = starts(key[o], todo)
+        at, key = at[o], key[o]
+        del o
+        order[todo] = at
+        group[at] = starts(changes(key), todo)
         h *= 2
     return order
 
@@ -105,18 +119,18 @@ def kasai(data: np.ndarray, order: np.ndarray, cap: int, lanes: int = 4096) -> n
     stretches of the text are walked in step, eight bytes to a comparison.
     """
     n = len(data)
+    out = np.zeros(n, np.min_scalar_type(cap))
     if n == 0:
-        return np.zeros(0, np.int64)
-    word = np.concatenate([words_at(data), np.zeros(1, np.uint64)])
-    before = np.full(n, -1, np.int64)
+        return out
+    word = words_at(data, 1)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
     bounds = np.linspace(0, n, min(lanes, n) + 1).astype(np.int64)
     i, stop = bounds[:-1].copy(), bounds[1:]
     h = np.zeros(len(i), np.int64)
-    out = np.zeros(n, np.int64)
     steps = np.uint64(1) << np.arange(8, 64, 8, dtype=np.uint64)
     while len(i):
-        j = before[i]
+        j = before[i].astype(np.int64)
         x = word[np.minimum(i + h, n)] ^ word[np.minimum(np.maximum(j, 0) + h, n)]
         same = 7 - np.searchsorted(steps, x, side="right")  # equal leading bytes, if any differ
         h = h + np.where(x == 0, 8, same)
@@ -135,9 +149,10 @@ def first_of_equals(data: np.ndarray, starts_ok: np.ndarray, length: int) -> np.
     """For each position where a window may start: does an equal window start earlier in ``data``?"""
     order = suffix_array(data)
     prefix = kasai(data, order, length)
-    group = np.cumsum(prefix < length) - 1
+    group = np.cumsum(prefix < length, dtype=np.int32)
+    group -= 1
     valid = starts_ok[order]
-    first = np.full(group[-1] + 1 if len(group) else 0, len(data), np.int64)
+    first = np.full(group[-1] + 1 if len(group) else 0, len(data), np.int32)
     np.minimum.at(first, group[valid], order[valid])
     later = np.zeros(len(data), bool)
     later[order] = valid & (order > first[group])
@@ -392,24 +407,8 @@ def _settled(s: Shard, code: np.ndarray, length: int):
     if len(a):
         by = np.lexsort((s.first[a], s.place[s.doc[a]]))
         a, z = a[by], z[by]
-        start, stop = s.first[a], s.last[z] + length
-        size = stop - start
-        at = np.repeat(start, size) + ragged_arange(size)  # position in the shard of each laid-out byte
-        may_start = ragged_arange(size) <= np.repeat(size - length, size)
-        later = first_of_equals(s.bytes[at], may_start, length)
-        doc = np.repeat(s.doc[a], size)
-        region = np.repeat(np.arange(len(a)), size)
-        x, y = _runs(later, region)
-        for d, b, e in zip(doc[x].tolist(), at[x].tolist(), (at[y] + length).tolist()):
-            rows.append((_RUN, d, b, e, None))
-        # which anchor each window has: anchors follow one another without a gap inside a region
-        n_windows = (s.last - s.first + 1)
-        anchors = np.concatenate([np.arange(i, j + 1) for i, j in zip(a.tolist(), z.tolist())])
-        anchor = np.full(len(at), -1, np.int64)
-        anchor[may_start] = np.repeat(anchors, n_windows[anchors])
-        x, y = _runs(may_start & ~later, anchor)
-        for d, b, e, w in zip(doc[x].tolist(), at[x].tolist(), (at[y] + length).tolist(), anchor[x].tolist()):
-            rows.append((_OPEN, d, b, e, w))
+        for i, j in slices((s.last[z] + length - s.first[a]).tolist(), OPEN_BYTES):
+            rows += _sorted_open(s, a[i:j], z[i:j], length)
     for i in range(0, len(rows), 20_000):
         part = rows[i:i + 20_000]
         kind, d, b, e, w = (list(c) for c in zip(*part))
@@ -423,6 +422,35 @@ def _settled(s: Shard, code: np.ndarray, length: int):
             names=["kind", "shard_id", "doc", "id", "hash", "start", "stop", "data"])
 
 
+def _sorted_open(s: Shard, a: np.ndarray, z: np.ndarray, length: int) -> list[tuple]:
+    """Rows of the regions from anchor ``a`` to anchor ``z``: what repeats inside them goes, the rest stays open.
+
+    Windows that other regions of the shard hold too stay open and meet with those of other shards.
+    """
+    start = s.first[a].astype(np.int32)
+    size = (s.last[z] + length).astype(np.int32) - start
+    ends = np.cumsum(size, dtype=np.int32)
+    offset = np.arange(ends[-1], dtype=np.int32)
+    offset -= np.repeat(ends - size, size)
+    may_start = offset <= np.repeat(size - np.int32(length), size)
+    at = offset  # position in the shard of each laid-out byte
+    at += np.repeat(start, size)
+    later = first_of_equals(s.bytes[at], may_start, length)
+    region = np.repeat(np.arange(len(a), dtype=np.int32), size)
+    x, y = _runs(later, region)
+    rows = [(_RUN, d, b, e, None) for d, b, e in zip(s.doc[a[region[x]]].tolist(), at[x].tolist(),
+                                                     (at[y] + length).tolist())]
+    del region
+    # which anchor each window has: anchors follow one another without a gap inside a region
+    anchors = np.concatenate([np.arange(i, j + 1, dtype=np.int32) for i, j in zip(a.tolist(), z.tolist())])
+    anchor = np.full(len(at), -1, np.int32)
+    anchor[may_start] = np.repeat(anchors, (s.last - s.first + 1)[anchors])
+    x, y = _runs(may_start & ~later, anchor)
+    rows += [(_OPEN, d, b, e, w) for d, b, e, w in zip(s.doc[anchor[x]].tolist(), at[x].tolist(),
+                                                       (at[y] + length).tolist(), anchor[x].tolist())]
+    return rows
+
+
 def merge_windows(rows: pa.Table, length: int) -> pa.Table:
     """Windows of the open text of some anchors that stand earlier in another shard."""
     data = rows["data"].to_pylist()
@@ -430,27 +458,31 @@ def merge_windows(rows: pa.Table, length: int) -> pa.Table:
     shard, doc, ids, start = (rows[c].to_numpy() for c in ("shard_id", "doc", "id", "start"))
     order = np.lexsort((start, doc, shard, ids))  # document order over all shards
     buffer = np.frombuffer(b"".join(data), np.uint8)
-    base = np.cumsum(sizes) - sizes
+    wide = np.int32 if len(buffer) < 1 << 31 else np.int64
+    base = (np.cumsum(sizes) - sizes).astype(wide)
     count = sizes - length + 1
-    rank = np.empty(len(data), np.int64)
+    rank = np.empty(len(data), wide)
     rank[order] = (np.cumsum(count[order]) - count[order])
-    owner = np.repeat(np.arange(len(data)), count)
-    offset = ragged_arange(count)
+    owner = np.repeat(np.arange(len(data), dtype=np.int32), count)
+    offset = ragged_arange(count).astype(wide)
     at = base[owner] + offset
     when = rank[owner] + offset
     size = gram_size(length)
     gram = gram_hashes(buffer, size)
     name = np.zeros(len(at), np.uint64)
     for k in [*range(0, length - size, size), length - size]:  # grams that cover the window
-        name = (name ^ gram[at + k]) * _MIX
+        name ^= gram[at + k]
+        name *= _MIX
         name ^= name >> np.uint64(31)
-    by = np.lexsort((when, name))
+    del gram
+    by = np.lexsort((when, name)).astype(wide)
     merged, firsts = name[by], by
     later = np.zeros(len(at), bool)
     word = words_at(buffer)
     steps = [*range(0, length - 8, 8), max(0, length - 8)]
-    by_shard = np.argsort(shard[owner], kind="stable")
-    for mine in np.split(by_shard, np.flatnonzero(np.diff(shard[owner][by_shard])) + 1):
+    number = np.unique(shard, return_inverse=True)[1].astype(np.int32)[owner]
+    by_shard = np.argsort(number, kind="stable").astype(wide)
+    for mine in np.split(by_shard, np.flatnonzero(np.diff(number[by_shard])) + 1):
         # binary search of each shard's windows in the merged list
         first = firsts[np.searchsorted(merged, name[mine], "left")]
         hit = when[first] < when[mine]
