@@ -33,7 +33,7 @@ SEQUENCE_TOKENS = 2048
 END_ID = 0
 GROUP_PIECES = 50_000
 #: distinct words that a Python worker keeps the ids of
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 250_000
 
 
 def word_bpe_path() -> str:
