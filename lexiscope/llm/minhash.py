@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscope.llm.common import SLICE_BYTES, discard, release_memory, slices, small_batches, stored, table
+from lexiscope.llm.common import SLICE_BYTES, discard, few_tasks, release_memory, slices, small_batches, stored, table
 from lexiscope.llm.simhash import LOWER, Forest, components
 from lexiscope.llm.suffix_dedup import SHARD_BYTES, shard_table, unsqueeze
 from lexiscope.llm.words import chained, mix, word_hashes
@@ -58,6 +58,10 @@ RECALL = 1 - 1e-5
 PIECE = 256
 #: members of a band beyond which pairs must share two bands
 HOT_BAND = 4096
+#: rows of one task: documents, members of a band (a number or a sketch each), sets that are compared
+ROWS_PER_TASK = 50_000
+MEMBERS_PER_TASK = 10_000
+SETS_PER_TASK = 5_000
 _BLANK = np.isin(np.arange(256), [*b" \t\n\r\v\f"])
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -244,7 +248,7 @@ def _reaches(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, piece: int = 256) -> DataFrame:
-    """The ``pairs(x, y)`` whose sets reach the threshold.
+    """The ``pairs(x, y)`` (a written table) whose sets reach the threshold.
 
     The set of ``x`` goes once to every piece of its partners, theirs follow in
     the same sorted stream: a task holds one set of each side.
@@ -273,7 +277,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, piece: int = 256)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
         release_memory()
 
-    return rows.select("x", "y", "shingles").mapInArrow(run, "a long, b long")
+    # a task reads sorted partitions one after the other, each with the whole of its pieces
+    return few_tasks(rows.select("x", "y", "shingles"), pairs.count(), SETS_PER_TASK).mapInArrow(run, "a long, b long")
 
 
 def _members(batch: pa.RecordBatch, k: int, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -327,16 +332,19 @@ def _forest_pairs(met: DataFrame, prints: DataFrame, matches: int, piece: int) -
             yield _pairs_batch(a, b)
         release_memory()
 
-    return pieces.select("rows").mapInArrow(run, "x long, y long").distinct()
+    pieces = few_tasks(pieces.select("rows"), met.count(), MEMBERS_PER_TASK)
+    return few_tasks(pieces.mapInArrow(run, "x long, y long").distinct(), met.count(), MEMBERS_PER_TASK)
 
 
-def _met_pieces(members: DataFrame, cut: Column, columns: list[str]) -> DataFrame:
+def _met_pieces(members: DataFrame, cut: Column, columns: list[str], rows: int, per_task: int) -> DataFrame:
     """Pairs of pieces ``(band, rows, rows2)`` of ``members``; pieces of one and the same component do not meet."""
-    pieces = stored(members.withColumn("cut", cut).groupBy("band", "cut")
-                    .agg(F.collect_list(F.struct(*columns)).alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")))
+    pieces = (members.withColumn("cut", cut).groupBy("band", "cut")
+              .agg(F.collect_list(F.struct(*columns)).alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")))
+    pieces = stored(few_tasks(pieces, rows, per_task))
     other = pieces.toDF("band", "cut2", "rows2", "lo2", "hi2")
-    return (pieces.join(other, "band").filter("cut <= cut2 and not (lo = hi and lo2 = hi2 and lo = lo2)")
-            .select("band", "rows", "rows2"))
+    met = (pieces.join(other, "band").filter("cut <= cut2 and not (lo = hi and lo2 = hi2 and lo = lo2)")
+           .select("band", "rows", "rows2"))
+    return few_tasks(met, rows, per_task)
 
 
 def _open_members(members: DataFrame, prints: DataFrame, matches: int, piece: int) -> DataFrame:
@@ -347,7 +355,7 @@ def _open_members(members: DataFrame, prints: DataFrame, matches: int, piece: in
     cut = F.when(F.col("nc") > piece, F.xxhash64("comp", F.pmod(F.xxhash64("node"), F.ceil(F.col("nc") / piece))))
     cut = cut.otherwise(F.pmod(F.xxhash64("comp", F.lit(3)), F.ceil(F.col("n") / piece)))
     mixed = members.join(per.join(per_band, "band"), ["band", "comp"]).join(prints, "node")
-    met = _met_pieces(mixed, cut, ["node", "comp", "sketch"])
+    met = _met_pieces(mixed, cut, ["node", "comp", "sketch"], members.count(), MEMBERS_PER_TASK)
 
     def run(batches):
         for batch in batches:
@@ -370,12 +378,13 @@ def _cross_links(members: DataFrame, sets: DataFrame, prints: DataFrame, matches
 
     A pair that shares several bands is verified in the least of them.
     """
-    open_ = stored(_open_members(members, prints, matches, piece))
+    rows_ = members.count()
+    open_ = stored(few_tasks(_open_members(members, prints, matches, piece), rows_, MEMBERS_PER_TASK))
     sizes = open_.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
     shared = open_.groupBy("node").agg(F.collect_list("band").alias("bands"))
     rows = open_.join(sizes, "band").join(shared, "node").join(prints, "node").join(sets, "node")
     met = _met_pieces(rows, F.pmod(F.xxhash64("node", F.lit(5)), F.ceil(F.col("n") / piece)),
-                      ["node", "comp", "sketch", "bands", "shingles"])
+                      ["node", "comp", "sketch", "bands", "shingles"], open_.count(), SETS_PER_TASK)
 
     def run(batches):
         forest = Forest()
@@ -413,24 +422,26 @@ def near_links(shards: DataFrame, classes: DataFrame, percent: int = PERCENT, pl
                                          F.bit_xor(F.xxhash64("node", F.lit(1))).alias("q")).filter("n > 1"))
     # near copies share most of their bands: bands with the same members (by a digest of 128 bits) are met once
     groups = groups.groupBy("n", "p", "q").agg(F.min("band").alias("band"), F.count(F.lit(1)).alias("weight"))
-    met = stored(member.join(groups.select("band", "n", "weight"), "band"))
+    met = stored(few_tasks(member.join(groups.select("band", "n", "weight"), "band"), classes.count(), ROWS_PER_TASK))
     wanted = met.select("node").distinct()
     sets = stored(class_sets(shards, classes.select("node", "shard_id", "doc").join(wanted, "node"), width))
     discard(shards)  # from here on only written tables are read
     prints, least = classes.select("node", "sketch"), least_matches(percent / 100, RECALL, places)
     links = stored(verified(stored(_forest_pairs(met, prints, least, piece)), sets, percent))
-    roots = stored(components(links))
+    n_links = links.count()
+    roots = stored(few_tasks(components(links, rows=n_links), n_links, ROWS_PER_TASK))
     comps = (wanted.join(roots.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left")
              .select("node", F.coalesce("root", "node").alias("comp")))
-    named = met.join(comps, "node")
+    named = few_tasks(met.join(comps, "node"), met.count(), ROWS_PER_TASK)
     # a band that stands for several with the same members is met by itself: its pairs share two bands
     usual = named.filter((F.col("n") <= hot_band) | (F.col("weight") > 1)).select("band", "node", "comp")
     hot = named.filter(F.col("n") > hot_band).select("band", "node", "comp")
     other = met.filter(F.col("n") > hot_band).select("node", F.col("band").alias("band2"))
     twice = hot.join(other, "node").filter("band < band2").select(F.xxhash64("band", "band2").alias("band"), "node", "comp")
     # late links join components: these are the nodes of a small graph of their own
-    joined = stored(_cross_links(usual.unionByName(twice), sets, prints, least, percent, piece))
-    late = components(joined).toDF("comp", "late")
+    members = stored(usual.unionByName(twice))  # counted, and read by every step that meets them
+    joined = stored(_cross_links(members, sets, prints, least, percent, piece))
+    late = components(joined, rows=joined.count()).toDF("comp", "late")
     nodes = roots.select("node", F.col("root").alias("comp")).unionByName(
         late.select(F.col("comp").alias("node"), "comp").join(roots.select("node"), "node", "left_anti"))
     return nodes.join(late, "comp", "left").select("node", F.coalesce("late", "comp").alias("root"))
@@ -447,16 +458,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shards = shard_table(docs, "doc_id", "text", max(parallel, ceil(total / (2 * SHARD_BYTES))))
     prints = stored(sketches(shards, percent, places, bands, rows, width))
     # the first row of a class stands for it; its bands and sketch travel once per class and task
-    classes = stored(prints.filter("n > 0").groupBy("set1", "set2")
-                     .agg(F.min("id").alias("least"), F.min(F.struct("shard_id", "doc", "bands", "sketch")).alias("first"))
-                     .select("set1", "set2", "least", "first.*")
+    classes = (prints.filter("n > 0").groupBy("set1", "set2")
+               .agg(F.min("id").alias("least"), F.min(F.struct("shard_id", "doc", "bands", "sketch")).alias("first"))
+               .select("set1", "set2", "least", "first.*"))
+    documents = prints.count()
+    classes = stored(few_tasks(classes, documents, ROWS_PER_TASK)
                      .withColumn("bands", F.when(F.size("bands") > 0, F.col("bands")))
                      .withColumn("node", F.monotonically_increasing_id()))
     roots = near_links(shards, classes, percent, places, width, piece, hot_band).withColumnRenamed("node", "own")
     named = (classes.select("set1", "set2", "least", "node").join(roots, F.col("node") == F.col("own"), "left")
              .withColumn("root", F.coalesce("root", "node")))
     heads = named.groupBy("root").agg(F.min("least").alias("head"))
-    named = stored(named.select("set1", "set2", "root").join(heads, "root").select("set1", "set2", "head"))
+    named = named.select("set1", "set2", "root").join(heads, "root").select("set1", "set2", "head")
+    named = stored(few_tasks(named, documents, ROWS_PER_TASK))
     full = prints.select("id", "n", "set1", "set2").filter("n > 0").join(named, ["set1", "set2"])
     empty = prints.filter("n = 0").select("id", "n", F.col("id").alias("head"))
     return (full.select("id", "n", "head").unionByName(empty)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiscope.llm.common import free_name, ragged_arange, release_memory, slices, small_batches, stored, table, text_slices
+from lexiscope.llm.common import few_tasks, free_name, ragged_arange, release_memory, slices, small_batches, stored, table, text_slices
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SHINGLE_WORDS = 3
@@ -179,14 +179,19 @@ def _join(forest: Forest, a: np.ndarray, b: np.ndarray) -> None:
 
 # ---- components ------------------------------------------------------------------
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: edges of one task in a round
+EDGES_PER_TASK = 200_000
+
+
+def components(edges: DataFrame, max_rounds: int = 60, rows: int | None = None) -> DataFrame:
     """``(node, root)`` for the nodes of ``edges(a, b)``: the smallest node that each can reach.
 
-    Alternating large-star and small-star steps; each round is a written table.
+    Alternating large-star and small-star steps; each round is a written table,
+    dealt by the edges of the round before (``rows``, where known, are those at first).
     """
-    edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-                   .distinct())
-    before = None
+    edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = stored(edges if rows is None else few_tasks(edges, rows, EDGES_PER_TASK))
+    before, rows = None, edges.count()
     for _ in range(max_rounds):
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
@@ -194,12 +199,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = large.filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
-        edges = stored(small.union(least.select("a", F.col("m").alias("b"))).distinct())
+        least = least.select("a", F.col("m").alias("b"))
+        both = few_tasks(small, rows, EDGES_PER_TASK).union(few_tasks(least, rows, EDGES_PER_TASK))
+        edges = stored(few_tasks(both.distinct(), rows, EDGES_PER_TASK))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             roots = edges.select("b").distinct()
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots.select("b", "b"))
-        before = now
+        before, rows = now, now[0]
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
